@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.llm import langid, quality
 from siltstone.llm.common import read_table
 from siltstone.llm.exact_dedup import exact_dedup, fresh_index
 from siltstone.llm.fingerprints import compare_with_next
@@ -20,6 +21,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), fresh_index(spark))
 
@@ -27,7 +38,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op5_mixing": op5_mixing,
+    "op6_langid": op6_langid,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {
