@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import langid, quality
+from siltstone.llm import langid, quality, simhash
 from siltstone.llm.common import read_table
 from siltstone.llm.exact_dedup import exact_dedup, fresh_index
 from siltstone.llm.fingerprints import compare_with_next
@@ -17,6 +18,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(read_table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +43,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
     "op7_exact_dedup": op7_exact_dedup,
