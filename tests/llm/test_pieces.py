@@ -1,0 +1,98 @@
+import struct
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from siltstone.llm import pieces
+
+spm = pytest.importorskip("sentencepiece")
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return pieces.Codec(pieces.PieceModel(pieces.load()))
+
+
+@pytest.fixture(scope="module")
+def library():
+    return spm.SentencePieceProcessor(model_file=pieces.MODEL)
+
+
+def both(codec, library, texts):
+    ids, counts = codec.encode(texts)
+    runs = np.split(ids, np.cumsum(counts)[:-1]) if texts else []
+    assert [r.tolist() for r in runs] == [library.encode(t) for t in texts]
+    assert [b.decode() for b in codec.decode(ids, counts)] == [library.decode(library.encode(t)) for t in texts]
+
+
+def test_fixed_texts(codec, library):
+    both(codec, library, ["hello world", "  two  spaces ", "", "a\nb\tc", " x", "▁ raw", "é€𝄞\0z", "ﬁ Å", "\r\n", "a    b", "<0x0A> <s> </s>", " " * 90, "x" * 500, "ab" * 300 + " " + "the" * 40, "漢字" * 60])
+
+
+def test_sample_documents(codec, library):
+    import pyarrow.parquet as pq
+
+    both(codec, library, pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=60), max_size=5))
+def test_any_text(codec, library, texts):
+    both(codec, library, texts)
+
+
+def message(fields):
+    out = b""
+    for number, value in fields:
+        if isinstance(value, bytes):
+            out += bytes([number << 3 | 2]) + varint(len(value)) + value
+        elif isinstance(value, float):
+            out += bytes([number << 3 | 5]) + struct.pack("<f", value)
+        else:
+            out += bytes([number << 3]) + varint(value)
+    return out
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+def test_unigram_path_is_the_best_of_all():
+    scored = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.2, "ba": -3.1, "aba": -4.6, "▁a": -2.9, "bb": -4.0, "abab": -7.0}
+    made = [(p.encode(), s, 1) for p, s in scored.items()] + [(f"<0x{i:02X}>".encode(), 0.0, 6) for i in range(256)]
+    data = b"".join(message([(1, message([(1, p), (2, s), (3, t)]))]) for p, s, t in made)
+    data += message([(2, message([(3, 1)])), (3, message([(3, 1), (4, 0)]))])
+    model = pieces.PieceModel(data)
+    codec = pieces.Codec(model)
+
+    def ways(word):
+        if not word:
+            yield 0.0, []
+        for n in range(1, len(word) + 1):
+            if (p := word[:n]) in scored or n == 1:
+                for s, rest in ways(word[n:]):
+                    yield scored.get(p, model.low) + s, [p, *rest]
+
+    for word in ["abab", "ababa", "bbab", "aabbab", "abcab", "b", "baabbaab"]:
+        best = max(s for s, _ in ways(pieces.MARK + word))
+        ids, counts = codec.encode([word])
+        got = [model.pieces[i] for i in ids]
+        assert codec.decode(ids, counts) == [word.encode()]
+        assert abs(sum(scored.get(p, 0) for p in got if not p.startswith("<0x")) + sum(model.low for p in got if p.startswith("<0x")) - best) < 1e-5
+
+
+def test_tables(spark):
+    rows = [(1, "a b\nc", "x"), (1, "a b\nc", "x"), (2, None, "y"), (3, "", None), (None, "é" * 3000, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    out = pieces.encode_documents(docs)
+    assert out.count() == 5 and out.filter("round_trip").count() == 5
+    assert [r.n_tokens for r in out.filter("doc_id in (2, 3)").collect()] == [0, 0]
+    back = {r.doc_id: r.text for r in pieces.decode_documents(out).collect()}
+    assert back == {1: "a b\nc", 2: "", 3: "", None: "é" * 3000}
+    assert pieces.encode_documents(docs.limit(0)).count() == 0
