@@ -13,12 +13,18 @@ from siltstone.llm.exact_dedup import exact_dedup, fresh_index
 from siltstone.llm.fingerprints import compare_with_next
 from siltstone.llm.mixing import mix
 from siltstone.llm.substring_dedup import dedup_substrings
+from siltstone.llm.suffix_dedup import dedup_bytes
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(read_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_bytes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -57,6 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_html_extract": op3_html_extract,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,

@@ -38,29 +38,36 @@ def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return span_hashes(flat, start, end), owner, start - base, end - base
 
 
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+
+
 def byte_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     size = np.array([len(t) for t in texts])
     owner = np.repeat(np.arange(len(texts)), size)
     start = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    return mix64(np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)), owner, start, start + 1
+    return _BYTE[np.frombuffer(b"".join(texts), np.uint8)], owner, start, start + 1
 
 
 def gram_hashes(tokens: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """A hash of the k tokens from each place on (the last k - 1 places have none)."""
+    """A hash of the k tokens from each place on (the last k - 1 places have none).
+
+    A polynomial in the tokens' hashes, put together from runs of 1, 2, 4, ... tokens and scrambled.
+    """
     n = len(tokens) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, at, size, piece = np.full(n, salt, np.uint64), 0, 1, tokens
-    factor = np.uint64(0x9E3779B97F4A7C15 + 2 * salt)
-    with np.errstate(over="ignore"):
-        while True:
-            if k & size:
-                out = mix64(out * factor + piece[at : at + n])
-                at += size
-            if 2 * size > k:
-                return np.maximum(out, np.uint64(1))
-            piece = mix64(piece[:-size] * factor + piece[size:])
-            size *= 2
+    out, at, size, piece = None, 0, 1, tokens
+    power = 0x9E3779B97F4A7C15 + 2 * salt  # odd; always the factor's power of size
+    while True:
+        if k & size:
+            part = piece[at : at + n]
+            out = part.copy() if out is None else np.add(np.multiply(out, np.uint64(power), out=out), part, out=out)
+            at += size
+        if 2 * size > k:
+            return np.maximum(mix64(out), np.uint64(1))
+        piece = piece[:-size] * np.uint64(power) + piece[size:]
+        power = power * power % 2**64
+        size *= 2
 
 
 def sliding(values: np.ndarray, w: int, best: Callable) -> np.ndarray:
@@ -141,13 +148,15 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInPandas(pack, "doc long, first long, blob binary")
 
 
-def repeated_places(segments: DataFrame, tokens: Tokens, k: int, window: int, later_only: bool = False) -> DataFrame:
+def repeated_places(segments: DataFrame, tokens: Tokens, k: int, window: int, later_only: bool = False, only: tuple[int, np.ndarray] | None = None) -> DataFrame:
     """(doc, parts): places of the segments' looked-at grams that occur more than once, 8 bytes each.
 
     With later_only, k must be the window: places of all windows but the first of each content, by
-    document and place. Such windows are told apart by 128 bits of hash.
+    document and place. Such windows are told apart by 128 bits of hash. only: (length, sorted hashes) of
+    least grams to which such windows are confined.
     """
     spark = segments.sparkSession
+    confined = spark.sparkContext.broadcast(only)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     reach = window - k + 1
 
@@ -158,6 +167,9 @@ def repeated_places(segments: DataFrame, tokens: Tokens, k: int, window: int, la
                 hashes, owner, *_ = tokens(texts)
                 grams, least, inside = windows(hashes, owner, k, window)
                 at = chosen(grams, least, inside, reach) if len(least) else np.zeros(0, np.int64)
+                if confined.value is not None and len(at):
+                    known = windows(hashes, owner, confined.value[0], window)[1]
+                    at = at[np.isin(known[at], confined.value[1])]
                 if len(at):
                     first = np.searchsorted(owner, np.arange(len(texts)))
                     place = at - first[owner[at]] + rows["first"].to_numpy()[owner[at]]
