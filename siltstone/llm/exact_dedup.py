@@ -73,6 +73,15 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     )
 
 
+def keep_one(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, columns unchanged, of the document that stays of each group of equal texts; each row once."""
+    kept = exact_dedup(docs, index, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sum"))
+    normal = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
+    rows = docs.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_sum": F.sha2(normal.cast("binary"), 256)})
+    rows = rows.join(kept.hint("merge"), F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_sum") == F.col("__sum")), "left_semi")
+    return rows.dropDuplicates(["__own_id", "__own_sum"]).select(*docs.columns)
+
+
 def fresh_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
     """An index of its own for one run."""
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets)

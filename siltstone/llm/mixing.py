@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import store, word_count
@@ -43,14 +43,15 @@ def targets(sizes: dict[str, int], weights: dict[str, int], share: Fraction = SH
     return out
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
+def _key_and_hash(id_col: str, text_col: str, source_col: str, seed: int) -> tuple[Column, Column]:
     source = F.col(source_col).cast("string")
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)).alias("skey"),
-        word_count(text_col).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col)).alias("h"),
-    )
+    key = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+    return key, F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col))
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
+    skey, h = _key_and_hash(id_col, text_col, source_col, seed)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), skey.alias("skey"), word_count(text_col).alias("size"), h.alias("h"))
 
 
 def thresholds(rows: DataFrame, budget: dict[str, Fraction]) -> dict[str, tuple[int, int]]:
@@ -83,7 +84,7 @@ def thresholds(rows: DataFrame, budget: dict[str, Fraction]) -> dict[str, tuple[
     return found
 
 
-def mix(
+def mix_plan(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -92,12 +93,8 @@ def mix(
     share: Fraction = SHARE,
     repeats: int = REPEATS,
     seed: int = 17,
-) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, copies, taken (copies x size).
-
-    Every document is taken floor(target / source size) times, and those below the source's hash
-    threshold once more; a source misses its target by at most half of one document's size.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, skey, size, h; plan: a row per source with its size, target, whole copies and threshold)."""
     spark = docs.sparkSession
     rows = store(sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
     sizes = {r.skey: int(r.words) for r in rows.groupBy("skey").agg(F.sum("size").alias("words")).collect()}
@@ -109,6 +106,33 @@ def mix(
         [(s, sizes[s], float(goal[s]), base[s], *cut.get(s, (0, None))) for s in order],
         "skey string, source_size long, target double, base int, shift int, cut long",
     )
-    further = F.coalesce(F.expr("shiftright(h, shift)") < F.col("cut"), F.lit(False)).cast("int")
-    taken = rows.join(plan, "skey").withColumn("copies", F.col("base") + further)
+    return rows, plan
+
+
+def _copies() -> Column:
+    return F.col("base") + F.coalesce(F.expr("shiftright(h, shift)") < F.col("cut"), F.lit(False)).cast("int")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, copies, taken (copies x size).
+
+    Every document is taken floor(target / source size) times, and those below the source's hash
+    threshold once more; a source misses its target by at most half of one document's size.
+    """
+    rows, plan = mix_plan(docs, id_col, text_col, source_col, **options)
+    taken = rows.join(plan, "skey").withColumn("copies", _copies())
     return taken.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **options) -> DataFrame:
+    """The mix itself: the input's rows, columns unchanged, each as often as it is taken.
+
+    Only the plan is joined, so texts are not shuffled.
+    """
+    _, plan = mix_plan(docs, id_col, text_col, source_col, seed=seed, **options)
+    own = {f: f"__mix_{f}" for f in ("skey", "h", "base", "shift", "cut")}
+    skey, h = _key_and_hash(id_col, text_col, source_col, seed)
+    plan = plan.select(*[F.col(c).alias(own[c]) for c in ("skey", "base", "shift", "cut")])
+    rows = docs.withColumns({own["skey"]: skey, own["h"]: h}).join(plan, own["skey"])
+    copies = F.col(own["base"]) + F.coalesce(F.expr(f"shiftright({own['h']}, {own['shift']})") < F.col(own["cut"]), F.lit(False)).cast("int")
+    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias("__mix_copy")).drop("__mix_copy")

@@ -201,6 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, columns unchanged, of the smallest id of each component."""
-    kept = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    """The rows, columns unchanged, of the smallest id of each component; of a component without ids, all."""
+    found = near_duplicates(docs, id_col, text_col).filter("doc_id <=> component_id")
+    kept = found.select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
