@@ -112,6 +112,8 @@ class _Packer:
         order = np.lexsort((at, doc, extra, h))
         h, extra, doc, at = h[order], extra[order], doc[order], at[order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (extra[1:] != extra[:-1])))
+        once = np.append(True, new[1:] | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))  # a repeated row lists its places again
+        h, extra, doc, at, new = h[once], extra[once], doc[once], at[once], new[once]
         more = np.append(~new[1:], False)  # the next entry is of the same gram
         spread = np.where(new, h, mix64(doc.view(np.uint64))) % np.uint64(self.buckets)
         order = np.argsort(spread, kind="stable")
