@@ -25,6 +25,12 @@ SHARE = Fraction(3, 2)
 REPEATS = 2
 #: Hash bits a round refines.
 DIGIT = 12
+#: A table of one row per source is broadcast up to so many sources, and joined as Spark sees fit beyond.
+BROADCAST_SOURCES = 20_000
+
+
+def _per_source(df: DataFrame, sources: int) -> DataFrame:
+    return F.broadcast(df) if sources <= BROADCAST_SOURCES else df
 
 
 def targets(sizes: dict[str, int], weights: dict[str, int], share: Fraction = SHARE, repeats: int = REPEATS) -> dict[str, Fraction]:
@@ -64,7 +70,7 @@ def thresholds(rows: DataFrame, budget: dict[str, Fraction]) -> dict[str, tuple[
         state = spark.createDataFrame(
             [(s, p, int(acc), float(budget[s] - acc)) for s, (p, acc) in open_.items()], "skey string, prefix long, acc long, room double"
         )
-        part = rows.join(state, "skey")
+        part = rows.join(_per_source(state, len(open_)), "skey")
         if above < 64:
             part = part.filter(F.shiftright("h", above) == F.col("prefix"))
         cell = part.groupBy("skey", F.shiftright("h", shift).alias("p")).agg(
@@ -106,7 +112,7 @@ def mix_plan(
         [(s, sizes[s], float(goal[s]), base[s], *cut.get(s, (0, None))) for s in order],
         "skey string, source_size long, target double, base int, shift int, cut long",
     )
-    return rows, plan
+    return rows, _per_source(plan, len(order))
 
 
 def _copies() -> Column:
@@ -132,7 +138,7 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     _, plan = mix_plan(docs, id_col, text_col, source_col, seed=seed, **options)
     own = {f: f"__mix_{f}" for f in ("skey", "h", "base", "shift", "cut")}
     skey, h = _key_and_hash(id_col, text_col, source_col, seed)
-    plan = plan.select(*[F.col(c).alias(own[c]) for c in ("skey", "base", "shift", "cut")])
+    plan = plan.select(*[F.col(c).alias(own[c]) for c in ("skey", "base", "shift", "cut")])  # keeps the broadcast hint
     rows = docs.withColumns({own["skey"]: skey, own["h"]: h}).join(plan, own["skey"])
     copies = F.col(own["base"]) + F.coalesce(F.expr(f"shiftright({own['h']}, {own['shift']})") < F.col(own["cut"]), F.lit(False)).cast("int")
     return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias("__mix_copy")).drop("__mix_copy")
