@@ -176,6 +176,15 @@ def test_grouping():
         partitioning.total([2**63, 2**63])
 
 
+@pytest.mark.parametrize("sizes, target, rebalance", [([10, 1, 8, 3, 2], 2, True), ([100], 7, False), ([5, 5], 2, False), ([0, 3], 4, False), ([0], 2, True), ([], 2, True)])
+def test_ranges_hold_every_byte_once(sizes, target, rebalance):
+    found = partitioning.ranges(sizes, target, rebalance)
+    assert len(found) <= max(target, 1)
+    for i, size in enumerate(sizes):
+        own = sorted((a, b) for group in found for f, a, b in group if f == i)
+        assert [a for a, _ in own[1:]] == [b for _, b in own[:-1]] and (not size or (own[0][0], own[-1][1]) == (0, size))
+
+
 def test_errors_tell_nothing():
     for kind in errors.ReaderError.__subclasses__():
         error = kind("some_reason")
