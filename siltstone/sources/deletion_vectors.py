@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.errors import DeletionVectorRead
+from siltstone.sources.files import data_file
+from siltstone.sources.shipping import ship
 
 _MAGIC = 1681511377
 _NO_RUNS, _RUNS = 12346, 12347
@@ -120,8 +122,6 @@ def deleted_rows(spark: SparkSession, table: str, vectors: list[dict]) -> DataFr
     Small payloads are decoded by the driver, so that a missing or damaged one fails the plan; large ones
     on executors, where it fails the query. Nothing is returned in part.
     """
-    from siltstone.sources.files import data_file
-
     inline = [v for v in vectors if v["storageType"] == "i"]
     stored = [v for v in vectors if v["storageType"] != "i"]
     schema = "file_key string, row_index long"
@@ -159,6 +159,8 @@ def deleted_rows(spark: SparkSession, table: str, vectors: list[dict]) -> DataFr
             raise DeletionVectorRead("deletion_vector_read_failed") from error
         return out.unionByName(spark.createDataFrame(pd.concat(found), schema))
 
+    ship(spark)
+
     def each(batches):
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):

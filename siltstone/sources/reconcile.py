@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.errors import DataFileRead, PhysicalToLogicalTransform
+from siltstone.sources.shipping import ship
 
 #: Up to so many footers are read by the driver; more are read by a job.
 DRIVER_FOOTERS = 64
@@ -67,6 +68,8 @@ def footers(spark: SparkSession, paths: list[str]) -> list[str]:
             with ThreadPoolExecutor(8) as pool:
                 return list(pool.map(footer, paths))
 
+        ship(spark)
+
         def read(batches):
             for batch in batches:
                 yield pd.DataFrame({"path": batch["path"], "footer": [footer(p) for p in batch["path"]]})
