@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.shipping import ship
+
 #: One word is a maximal run of anything but ASCII white space.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 SPACE_REGEX = r"[\x20\x09-\x0D]+"
@@ -42,7 +44,8 @@ def store(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of each Arrow batch, since texts may be very long."""
+    """Make Python workers ready: they get the package, and few rows in a batch, since texts may be very long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
