@@ -25,6 +25,8 @@ from siltstone.llm.textbatch import chunks, span_hashes, words
 FEATURES = 1 << 12
 DIMS = 48
 NEIGHBOURS = 25
+#: Features for the lengths of runs of one word.
+RUNS = 5
 #: About so many labelled rows are learned from, chosen by a hash of the id; bounds what is broadcast.
 MAX_LABELLED = 4_000
 #: Rows of one block of cosines.
@@ -41,20 +43,28 @@ _SHAPE[128:] = ord("a")
 
 
 def term_counts(texts: list[bytes]) -> np.ndarray:
-    """A row of feature counts for each text: words in the even features, shapes in the odd."""
+    """A row of feature counts for each text: words in the even features, shapes and repeats in the odd.
+
+    A word that repeats the one before counts for how long the run is by then: 2, 3 to 4, 5 to 8 words and so on.
+    """
     flat, start, end, owner = words(texts)
     counts = np.zeros((len(texts), FEATURES), np.float32)
     if not len(start):
         return counts
     half = np.uint64(FEATURES // 2)
-    ids = [(span_hashes(flat, start, end) % half) * np.uint64(2)]
+    hashes = span_hashes(flat, start, end)
+    ids = [(hashes % half) * np.uint64(2)]
+    fresh = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))
+    run = np.arange(len(start)) - np.maximum.accumulate(np.where(fresh, np.arange(len(start)), 0))
+    again = np.flatnonzero(run)
+    grown = FEATURES - 1 - 2 * np.minimum(np.log2(np.maximum(run[again], 1)).astype(np.int64), RUNS - 1)
     shape = _SHAPE[flat]
     keep = np.concatenate(([True], shape[1:] != shape[:-1]))
     keep[start] = True
     at = np.cumsum(keep) - 1
     ids.append((span_hashes(shape[keep], at[start], at[end - 1] + 1) % half) * np.uint64(2) + np.uint64(1))
-    for x in ids:
-        np.add(counts, np.bincount(owner * FEATURES + x.astype(np.int64), minlength=counts.size).reshape(counts.shape), out=counts, casting="unsafe")
+    for who, x in ((owner, ids[0]), (owner, ids[1]), (owner[again], grown)):
+        np.add(counts, np.bincount(who * FEATURES + x.astype(np.int64), minlength=counts.size).reshape(counts.shape), out=counts, casting="unsafe")
     return counts
 
 
