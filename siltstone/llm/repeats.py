@@ -151,7 +151,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_places(segments: DataFrame, tokens: Tokens, k: int, window: int, later_only: bool = False, only: tuple[int, np.ndarray] | None = None) -> DataFrame:
-    """(doc, parts): places of the segments' looked-at grams that occur more than once, 8 bytes each.
+    """Places of the segments' looked-at grams that occur more than once, dealt for gathered().
 
     With later_only, k must be the window: places of all windows but the first of each content, by
     document and place. Such windows are told apart by 128 bits of hash. only: (length, sorted hashes) of
@@ -204,21 +204,60 @@ def repeated_places(segments: DataFrame, tokens: Tokens, k: int, window: int, la
             many[group[more]] = True
             keep = many[group] if len(h) else new
         doc, at = np.concatenate((doc[keep], known_doc)), np.concatenate((at[keep], known_at))
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-        for a in range(0, len(start), 10_000):
-            s = start[a : a + 10_000]
-            e = np.append(start, len(doc))[a + 1 : a + 1 + len(s)]
-            yield pd.DataFrame({"doc": doc[s], "places": [at[i:j].tobytes() for i, j in zip(s, e, strict=True)]})
+        yield dealt(doc, at, np.ones(len(doc), np.int64), buckets)
 
     sent = segments.select("doc", "first", "blob").mapInPandas(send, _PACKED)
-    found = sent.repartitionById(buckets, "bucket").mapInPandas(settle, "doc long, places binary")
-    return found.groupBy("doc").agg(F.collect_list("places").alias("parts"))
+    return sent.repartitionById(buckets, "bucket").mapInPandas(settle, DEALT)
+
+
+DEALT = "part int, doc binary, at binary, n binary"
+
+
+def dealt(doc: np.ndarray, at: np.ndarray, n: np.ndarray, parts: int) -> pd.DataFrame:
+    """Runs of n places each, packed in one row for each part of the documents."""
+    part = (mix64(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((at, doc, part))
+    edge = np.searchsorted(part[order], np.arange(parts + 1))
+    own = [order[edge[p] : edge[p + 1]] for p in range(parts)]
+    rows = [(p, doc[o].tobytes(), at[o].tobytes(), n[o].tobytes()) for p, o in enumerate(own) if len(o)]
+    return pd.DataFrame(rows, columns=["part", "doc", "at", "n"])
+
+
+def gathered(runs: DataFrame) -> DataFrame:
+    """(doc, at, n): one row for each document, with its runs of places united, 8 bytes a value."""
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        doc, at, n = (np.concatenate([np.frombuffer(x, np.int64) for b in held for x in b[name]]) for name in ("doc", "at", "n"))
+        del held
+        order = np.lexsort((at, doc))
+        doc, at, n = doc[order], at[order], n[order]
+        new = np.concatenate(([True], doc[1:] != doc[:-1]))
+        lift = np.cumsum(new) * (int((at + n).max()) + 2)  # keeps the documents' places apart
+        end = np.maximum.accumulate(at + n + lift)
+        starts = np.flatnonzero(new | np.concatenate(([True], (at + lift)[1:] > end[:-1])))
+        last = np.append(starts[1:], len(doc)) - 1
+        doc, at, n = doc[starts], at[starts], end[last] - lift[last] - at[starts]
+        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        for a in range(0, len(first), 10_000):
+            s = first[a : a + 10_000]
+            e = np.append(first, len(doc))[a + 1 : a + 1 + len(s)]
+            yield pd.DataFrame({"doc": doc[s], "at": [at[i:j].tobytes() for i, j in zip(s, e, strict=True)], "n": [n[i:j].tobytes() for i, j in zip(s, e, strict=True)]})
+
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartitionById(parts, "part").mapInPandas(gather, "doc long, at binary, n binary")
+
+
+def spread(at: bytes, n: bytes) -> np.ndarray:
+    """All places of a document's runs."""
+    start, size = np.frombuffer(at, np.int64), np.frombuffer(n, np.int64)
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def survivors(segments: DataFrame, places: DataFrame, tokens: Tokens, k: int, window: int) -> DataFrame:
-    """(doc, first, blob): the parts of the segments whose windows' least grams are among the places."""
+    """(doc, first, blob): the parts of the segments whose windows' least grams are among the gathered places."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         press = zstandard.ZstdCompressor(level=3)
@@ -231,8 +270,8 @@ def survivors(segments: DataFrame, places: DataFrame, tokens: Tokens, k: int, wi
                 first = np.searchsorted(owner, np.arange(len(texts)))
                 size = np.bincount(owner, minlength=len(texts))
                 again = np.full(len(grams), np.uint64(2**64 - 1))
-                for i, (parts, base) in enumerate(zip(rows["parts"], rows["first"], strict=True)):
-                    at = np.concatenate([np.frombuffer(p, np.int64) for p in parts]) - base
+                for i, (runs, counts, base) in enumerate(zip(rows["at"], rows["n"], rows["first"], strict=True)):
+                    at = spread(runs, counts) - base
                     at = at[(at >= 0) & (at <= size[i] - k)] + first[i]
                     again[at] = grams[at]
                 on = np.flatnonzero(inside & (sliding(again, window - k + 1, np.minimum) == least))
@@ -245,7 +284,7 @@ def survivors(segments: DataFrame, places: DataFrame, tokens: Tokens, k: int, wi
                 blobs = [press.compress(texts[o][s:e]) for o, s, e in zip(owner[a], start[a], end[b], strict=True)]
                 yield pd.DataFrame({"doc": docs, "first": a - first[owner[a]] + bases, "blob": blobs})
 
-    return segments.join(places, "doc").select("doc", "first", "blob", "parts").mapInPandas(cut, "doc long, first long, blob binary")
+    return segments.join(places, "doc").select("doc", "first", "blob", "at", "n").mapInPandas(cut, "doc long, first long, blob binary")
 
 
 def copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

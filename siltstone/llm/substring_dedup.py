@@ -28,11 +28,12 @@ WINDOW = 20
 LEVELS = (5, 10)
 
 
-def covered(parts: list[bytes], n: int, window: int) -> np.ndarray:
-    """Which of n tokens are in a window that starts at one of the places."""
-    at = np.concatenate([np.frombuffer(p, np.int64) for p in parts])
-    turn = np.bincount(at, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(at + window, n), minlength=n + 1)[: n + 1]
-    return np.cumsum(turn)[:n] > 0
+def covered(at: bytes, n: bytes, size: int, window: int) -> np.ndarray:
+    """Which of the document's tokens are in a window that starts in one of the runs of places."""
+    start, count = np.frombuffer(at, np.int64), np.frombuffer(n, np.int64)
+    end = np.minimum(start + count + window - 1, size)
+    turn = np.bincount(start, minlength=size + 1)[: size + 1] - np.bincount(end, minlength=size + 1)[: size + 1]
+    return np.cumsum(turn)[:size] > 0
 
 
 def later_windows(docs: DataFrame, tokens: repeats.Tokens, levels: tuple[int, ...], window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +41,7 @@ def later_windows(docs: DataFrame, tokens: repeats.Tokens, levels: tuple[int, ..
     copied = repeats.copies(docs, id_col, text_col)
     segments = repeats.packed(docs, id_col, text_col)
     for k in levels:
-        places = repeats.repeated_places(segments, tokens, k, window).join(copied, "doc", "left_anti")
+        places = repeats.gathered(repeats.repeated_places(segments, tokens, k, window)).join(copied, "doc", "left_anti")
         segments = store(repeats.survivors(segments, places, tokens, k, window), f"segments-{k}")
     return segments, copied
 
@@ -50,26 +51,26 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     small_batches(spark)
     segments, copied = later_windows(docs, repeats.word_tokens, levels, window, id_col, text_col)
-    places = repeats.repeated_places(segments, repeats.word_tokens, window, window, later_only=True)
-    marks = places.unionByName(copied.withColumn("parts", F.array().cast("array<binary>")))
+    places = repeats.gathered(repeats.repeated_places(segments, repeats.word_tokens, window, window, later_only=True))
+    marks = places.unionByName(copied.select("doc", F.lit(b"").alias("at"), F.lit(b"").alias("n")))
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc, blob, parts in zip(batch["doc"], batch["blob"], batch["parts"], strict=True):
+            for doc, blob, at, runs in zip(batch["doc"], batch["blob"], batch["at"], batch["n"], strict=True):
                 w = unpack.decompress(blob).split()
                 n = len(w)
-                if parts is None:
+                if at is None:
                     kept = w
-                elif not len(parts):  # a copy
+                elif not at:  # a copy
                     kept = w if n < window else []
                 else:
-                    gone = covered(parts, n, window)
+                    gone = covered(at, runs, n, window)
                     kept = [x for x, g in zip(w, gone.tolist(), strict=True) if not g]
                 out.append((doc, n, n - len(kept), b" ".join(kept)))
             yield pd.DataFrame(out, columns=["doc", "n_words", "n_removed", "kept"])
 
-    joined = repeats.packed(docs, id_col, text_col).join(marks, "doc", "left").select("doc", "blob", "parts")
+    joined = repeats.packed(docs, id_col, text_col).join(marks, "doc", "left").select("doc", "blob", "at", "n")
     found = joined.mapInPandas(remove, "doc long, n_words long, n_removed long, kept binary")
     return found.select(F.nullif("doc", F.lit(repeats.NULL_ID)).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))

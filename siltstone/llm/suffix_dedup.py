@@ -108,19 +108,6 @@ def later_in_shard(group: np.ndarray, texts: list[bytes], doc: np.ndarray, at: n
     return (np.concatenate(out_doc), np.concatenate(out_at)) if out_doc else (doc[:0], at[:0])
 
 
-def _runs(doc: np.ndarray, at: np.ndarray, count: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Rows (doc, places) of windows given as runs of `count` places."""
-    doc = np.repeat(doc, count)
-    at = np.repeat(at, count) + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    for a in range(0, len(start), 5_000):
-        s = start[a : a + 5_000]
-        e = np.append(start, len(doc))[a + 1 : a + 1 + len(s)]
-        yield pd.DataFrame({"doc": doc[s], "places": [zstandard.compress(at[i:j].tobytes(), 1) for i, j in zip(s, e, strict=True)]})
-
-
 def _first_stretches(h: np.ndarray, texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first of its gram and content, equal to one that starts before); one that is listed twice is neither, the second time."""
     seen: dict[tuple[int, bytes], int] = {}
@@ -133,7 +120,7 @@ def _first_stretches(h: np.ndarray, texts: list[bytes], doc: np.ndarray, at: np.
 
 
 def shard_windows(segments: DataFrame, k: int, window: int, common: np.ndarray) -> DataFrame:
-    """(doc, places): windows of uncommon grams that are not the first of their content, found by shard."""
+    """Windows of uncommon grams that are not the first of their content, found by shard, dealt for gathered()."""
     spark = segments.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     reach = window - k + 1
@@ -209,22 +196,23 @@ def shard_windows(segments: DataFrame, k: int, window: int, common: np.ndarray)
         joined = b"".join(zstandard.decompress(x) for b in held for x in b["text"])
         old = join("old_doc", np.int64), join("old_at", np.int64), join("old_n", np.int64)
         del held
-        yield from _runs(*old)
+        found = [old]
         ends = np.cumsum(n + window - 1)
         texts = [joined[a:b] for a, b in zip((ends - n - window + 1).tolist(), ends.tolist(), strict=True)]
         new, again = _first_stretches(h, texts, doc, at)
-        yield from _runs(doc[again], at[again], n[again])
+        found.append((doc[again], at[again], n[again]))
         left = np.flatnonzero(new)
         _, group, size = np.unique(h[left], return_inverse=True, return_counts=True)
         left, group = left[size[group] > 1], group[size[group] > 1]  # one stretch alone needs no sorting
         if len(left):
             d, p = later_in_shard(group, [texts[i] for i in left], doc[left], at[left], window)
-            yield from _runs(d, p, np.ones(len(d), np.int64))
+            found.append((d, p, np.ones(len(d), np.int64)))
+        yield repeats.dealt(*(np.concatenate(x) for x in zip(*found, strict=True)), buckets)
 
     sent = segments.select("doc", "first", "blob").mapInPandas(
         send, "bucket int, h binary, doc binary, at binary, n binary, text binary, old_doc binary, old_at binary, old_n binary"
     )
-    return sent.repartitionById(buckets, "bucket").mapInPandas(sort, "doc long, places binary")
+    return sent.repartitionById(buckets, "bucket").mapInPandas(sort, repeats.DEALT)
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, levels: tuple[int, ...] = LEVELS, common: int = COMMON) -> DataFrame:
@@ -234,39 +222,31 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copied = repeats.copies(docs, id_col, text_col)
     segments = repeats.packed(docs, id_col, text_col)
     for k in levels:
-        places = repeats.repeated_places(segments, repeats.byte_tokens, k, window).join(copied, "doc", "left_anti")
+        places = repeats.gathered(repeats.repeated_places(segments, repeats.byte_tokens, k, window)).join(copied, "doc", "left_anti")
         segments = store(repeats.survivors(segments, places, repeats.byte_tokens, k, window), f"stretches-{k}")
     k = levels[-1]
     often = common_grams(segments, k, window, common)
-    found = shard_windows(segments, k, window, often).groupBy("doc").agg(F.collect_list("places").alias("parts"))
-    marks = found.join(copied, "doc", "left_anti").withColumn("digests", F.array().cast("array<binary>"))
+    found = shard_windows(segments, k, window, often)
     if len(often):
-        by_digest = repeats.repeated_places(segments, repeats.byte_tokens, window, window, later_only=True, only=(k, often))
-        marks = marks.drop("digests").join(by_digest.withColumnRenamed("parts", "digests"), "doc", "full").select("doc", "parts", "digests")
-    marks = marks.withColumn("copy", F.lit(False)).unionByName(
-        copied.select("doc", F.array().cast("array<binary>").alias("parts"), F.array().cast("array<binary>").alias("digests"), F.lit(True).alias("copy"))
-    )
+        found = found.unionByName(repeats.repeated_places(segments, repeats.byte_tokens, window, window, later_only=True, only=(k, often)))
+    marks = repeats.gathered(found).unionByName(copied.select("doc", F.lit(b"").alias("at"), F.lit(b"").alias("n")))
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc, blob, parts, digests, copy in zip(batch["doc"], batch["blob"], batch["parts"], batch["digests"], batch["copy"], strict=True):
+            for doc, blob, at, runs in zip(batch["doc"], batch["blob"], batch["at"], batch["n"], strict=True):
                 text = unpack.decompress(blob)
-                places = [zstandard.decompress(x) for x in parts] if parts is not None else []
-                places += list(digests) if digests is not None else []
-                if copy is True and len(text) >= window:
-                    gone = np.ones(len(text), bool)
-                elif places:
-                    gone = covered(places, len(text), window)
-                else:
-                    gone = np.zeros(len(text), bool)
+                if at:
+                    gone = covered(at, runs, len(text), window)
+                else:  # nothing, or a copy
+                    gone = np.full(len(text), at is not None and len(text) >= window)
                 removed = int(gone.sum())
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if removed else text
                 out.append((doc, len(text), removed, spans, kept))
             yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = repeats.packed(docs, id_col, text_col).join(marks, "doc", "left").select("doc", "blob", "parts", "digests", "copy")
+    joined = repeats.packed(docs, id_col, text_col).join(marks, "doc", "left").select("doc", "blob", "at", "n")
     result = joined.mapInPandas(remove, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return result.select(F.nullif("doc", F.lit(repeats.NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
