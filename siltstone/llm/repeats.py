@@ -24,7 +24,7 @@ from siltstone.llm.common import store, text_bytes
 from siltstone.llm.textbatch import chunks, mix64, span_hashes, words
 
 #: Entries that a task settles and packs at once.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Stands for a null id.
 NULL_ID = -(2**63)
 

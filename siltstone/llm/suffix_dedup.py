@@ -39,7 +39,9 @@ COMMON_SHARE = 1 / 20_000
 #: A task reports grams that it meets this often; bounds what goes unreported to this for each task.
 OFTEN = 8
 #: Bytes of stretches sorted at once.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 19
+#: Stretches that a task settles and packs at once.
+SETTLED = 1 << 16
 
 
 def common_grams(segments: DataFrame, k: int, window: int, common: int = COMMON) -> np.ndarray:
@@ -163,7 +165,7 @@ def shard_windows(segments: DataFrame, k: int, window: int, common: np.ndarray)
                 joined = b"".join(texts)
                 held.append((grams[at], rows["doc"].to_numpy()[owner[begin]], begin - base + rows["first"].to_numpy()[owner[begin]], [joined[b : f + window] for b, f in zip(begin.tolist(), finish.tolist(), strict=True)]))
                 size += len(at)
-            if size >= repeats.FLUSH >> 2:
+            if size >= SETTLED:
                 yield from pack(held)
                 held, size = [], 0
         if size:
@@ -199,6 +201,7 @@ def shard_windows(segments: DataFrame, k: int, window: int, common: np.ndarray)
         found = [old]
         ends = np.cumsum(n + window - 1)
         texts = [joined[a:b] for a, b in zip((ends - n - window + 1).tolist(), ends.tolist(), strict=True)]
+        del joined
         new, again = _first_stretches(h, texts, doc, at)
         found.append((doc[again], at[again], n[again]))
         left = np.flatnonzero(new)

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes of text handled at once; a longer text is handled by itself.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _POWERS = np.empty(1 << 16, np.uint64)
 _POWERS[0] = 1
