@@ -4,11 +4,13 @@ A page is read as blocks of text, each with its root-to-leaf path of block eleme
 text length, punctuation and link text of all its blocks are added up and divided by their number; the
 ratios are smoothed over neighbouring blocks in page order and fused into one weight, and paths whose
 weight passes a threshold set by the page's own weights are content. The element that holds the content
-is taken whole, but for what is page furniture by its element, role or class, and link lists.
+is taken whole, but for what is page furniture by its element, role or class, and link lists outside
+article and main.
 
 Defined results: a null page, or one without content, has the empty text; markup that is cut off or not
 closed is read as browsers do, as far as blocks are concerned; a line break element is white space;
-repeated rows are each extracted; an empty table gives no rows. Extra columns are ignored.
+repeated rows are each extracted; an empty table gives no rows. Extra columns are ignored. A link is an
+anchor with href; one that is not closed before the next anchor ends with its block.
 """
 
 from __future__ import annotations
@@ -51,11 +53,12 @@ CLOSES = {
 THRESHOLD = 0.1
 #: Blocks on each side that smooth a ratio.
 SPAN = 2
-#: A path whose text is links to more than this share is a link list.
+#: A path outside article and main, and not of headings, is a link list if its text is links to more than this share.
 LINKS = 0.6
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？]")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
@@ -87,20 +90,24 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[_Open] = []
     text: list[str] = []
-    links, in_link, at = 0, False, 0
+    links, at = 0, 0
+    in_link, closed, link_depth = False, False, 0  # closed: by an end tag, so that it may hold blocks
 
     def end_block() -> None:
-        nonlocal links
+        nonlocal links, in_link
         if text:
             clean = " ".join(html.unescape("".join(text)).split())
             if clean and not any(o.skip for o in stack):
                 out.append((tuple(o.name for o in stack), clean, min(links, len(clean))))
             text.clear()
         links = 0
+        in_link = in_link and closed
 
     def close_to(depth: int) -> None:
+        nonlocal in_link
         end_block()
         del stack[depth:]
+        in_link = in_link and depth >= link_depth
 
     def add(piece: str) -> None:
         nonlocal links
@@ -147,7 +154,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         if tag in INLINE:
             if tag == "a":
-                in_link = True
+                in_link = any(k.lower() == "href" for k, *_ in _ATTR.findall(m[3]))
+                following = _ANCHOR.search(page, at) if in_link else None
+                closed, link_depth = bool(following and following[1]), len(stack)
             continue
         end_block()
         own, stop = CLOSES.get(tag, (set(), set()))
@@ -190,8 +199,9 @@ def extract(page: str | None) -> str:
         even = np.convolve(each, kernel)[SPAN : SPAN + len(each)] / np.convolve(np.ones(len(each)), kernel)[SPAN : SPAN + len(each)]
         weights.append(np.bincount(of, (each + even) / 2) / nodes)
     fused = weights[0] * np.log1p(weights[1] + 0.5) * (1 - share)
-    if not fused.any():
-        return ""
+    in_main = [any(x.split(".")[0] in MAIN for x in p) for p in paths]
+    if not fused.any():  # nothing but links
+        return "\n".join(t for (_, t, _), i in zip(found, of, strict=True) if in_main[i])
     low = min(fused.mean(), fused.max() * THRESHOLD)
     content = fused >= low
     # the element that holds most content text: the deepest one with nine tenths of it
@@ -205,10 +215,10 @@ def extract(page: str | None) -> str:
         if name.split(".")[0] in MAIN:
             holder = holder[: d + 1]
             break
-    whole = bool(holder) and any(x.split(".")[0] in MAIN for x in holder)
     out = []
     for (path, text, _), i in zip(found, of, strict=True):
-        if path[: len(holder)] == holder and share[i] <= LINKS and (whole or content[i] or re.fullmatch(r"h[1-6]", path[-1].split(".")[0] if path else "")):
+        kept = in_main[i] or content[i] and share[i] <= LINKS or re.fullmatch(r"h[1-6]", path[-1].split(".")[0] if path else "")
+        if path[: len(holder)] == holder and kept:
             out.append(text)
     return "\n".join(out)
 

@@ -358,6 +358,29 @@ def test_html_without_article():
     assert html_extract.extract(page) == "Title\nSome text, of a few words. It goes on.\nShort."
 
 
+def test_html_links_in_an_article():
+    links = "".join(f"<li><a href=/{i}>Part {i}</a>" for i in range(5))
+    cells = "".join(f"<tr><td class=name><a href=/{i}>Name {i}</a><td>Value {i}, of some." for i in range(3))
+    text = "Some text, of a few words. It goes on."
+    page = f"<body><article><h1><a href=/t>Title</a></h1><p>{text}</p><ul>{links}</ul><table>{cells}</table></article></body>"
+    rows = [x for i in range(3) for x in (f"Name {i}", f"Value {i}, of some.")]
+    assert html_extract.extract(page).split("\n") == ["Title", text, *(f"Part {i}" for i in range(5)), *rows]
+    assert html_extract.extract(f"<main><ul>{links}</ul></main>").split("\n") == [f"Part {i}" for i in range(5)]
+    bare = f"<div class=post><h2><a href=/t>Title</a></h2><p>{text}</p><ul>{links}</ul></div>"
+    assert html_extract.extract(bare) == f"Title\n{text}"  # a link list outside an article
+
+
+@pytest.mark.parametrize("anchor", ["<a name=top>", "<a href=#top>", "<p><a href=#top>Top"])
+def test_html_anchor_left_open(anchor):
+    text = "Some text, of a few words. It goes on."
+    found = html_extract.extract(f"<body>{anchor}<div><p>{text}</p><p>{text}</p><a href=/n>Next</a></div></body>")
+    assert found.split("\n")[:2] == [text, text]
+
+
+def test_html_link_around_blocks():
+    assert [n for *_, n in html_extract.blocks("<a href=/x><div>Card</div><p>More</p></a><p>Text</p>")] == [4, 4, 0]
+
+
 @pytest.mark.parametrize("page", ["<a" * 50_000, '<p "' * 20_000, "<div>" * 3_000 + "deep. text", "<" * 10_000, "&#x110000; &bogus; a &amp b", "a < b > c"])
 def test_html_of_any_kind_ends(page):
     html_extract.extract(page)
