@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -199,18 +200,18 @@ def extract(page: str | None) -> str:
         even = np.convolve(each, kernel)[SPAN : SPAN + len(each)] / np.convolve(np.ones(len(each)), kernel)[SPAN : SPAN + len(each)]
         weights.append(np.bincount(of, (each + even) / 2) / nodes)
     fused = weights[0] * np.log1p(weights[1] + 0.5) * (1 - share)
-    in_main = [any(x.split(".")[0] in MAIN for x in p) for p in paths]
+    in_main = np.array([any(x.split(".")[0] in MAIN for x in p) for p in paths])
     if not fused.any():  # nothing but links
         return "\n".join(t for (_, t, _), i in zip(found, of, strict=True) if in_main[i])
     low = min(fused.mean(), fused.max() * THRESHOLD)
     content = fused >= low
-    # the element that holds most content text: the deepest one with nine tenths of it
-    text_of: dict[tuple[str, ...], float] = {}
-    for i in np.flatnonzero(content):
-        for d in range(len(paths[i]) + 1):
-            text_of[paths[i][:d]] = text_of.get(paths[i][:d], 0) + total[i]
-    enough = 0.9 * text_of[()]
-    holder = max((p for p, n in text_of.items() if n >= enough and (p not in place or _holds(p, paths))), key=len, default=())
+    # the deepest element that holds all content, or, if nine tenths of it are in article and main, all content in them
+    ours = np.flatnonzero(content & in_main)
+    if total[ours].sum() < 0.9 * total[content].sum() or not len(ours):
+        ours = np.flatnonzero(content)
+    holder = commonprefix([paths[i] for i in ours])
+    while holder and holder in place and not _holds(holder, paths):
+        holder = holder[:-1]
     for d, name in enumerate(holder):
         if name.split(".")[0] in MAIN:
             holder = holder[: d + 1]

@@ -370,6 +370,15 @@ def test_html_links_in_an_article():
     assert html_extract.extract(bare) == f"Title\n{text}"  # a link list outside an article
 
 
+def test_html_lead_beside_the_body():
+    lead, text = "A lead of few words, which says what follows. It is short.", "Some text, of a few words. It goes on. " * 25
+    parts = f"<div class=lead><p>{lead}</p></div><div class=body><p>{text}</p></div>"
+    assert html_extract.extract(f"<body>{parts}</body>").split("\n") == [lead, text.strip()]
+    assert html_extract.extract(f"<body><article>{parts}</article><div class=legal><p>{lead}</p></div>").split("\n") == [lead, text.strip()]
+    two = f"<body><article><p>{text}</p></article><article class=brief><p>{lead}</p></article></body>"
+    assert html_extract.extract(two).split("\n") == [text.strip(), lead]
+
+
 @pytest.mark.parametrize("anchor", ["<a name=top>", "<a href=#top>", "<p><a href=#top>Top"])
 def test_html_anchor_left_open(anchor):
     text = "Some text, of a few words. It goes on."
