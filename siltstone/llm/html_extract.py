@@ -35,6 +35,8 @@ INLINE = {
     "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
 }
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset", "head", "object", "audio", "video", "canvas"}
+#: What can stand in a head; anything else ends it, and so does text.
+HEAD = {"base", "basefont", "bgsound", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 MAIN = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form"}
 WORDS = {
@@ -46,7 +48,7 @@ WORDS = {
 #: What a starting element closes if it is open: the element, and the elements its search stops at.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
     "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
 
@@ -113,6 +115,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     def add(piece: str) -> None:
         nonlocal links
         if piece:
+            if stack and stack[-1].tag == "head" and html.unescape(piece).strip(" \t\n\f\r"):
+                close_to(len(stack) - 1)
             text.append(piece)
             if in_link:
                 links += len(piece)
@@ -142,6 +146,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if tag == "p":
                     end_block()
             continue
+        if stack and stack[-1].tag == "head" and tag not in HEAD:
+            close_to(len(stack) - 1)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(page, at)
             if not m[3].endswith("/") or tag not in ("svg", "math"):
@@ -159,6 +165,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 following = _ANCHOR.search(page, at) if in_link else None
                 closed, link_depth = bool(following and following[1]), len(stack)
             continue
+        if tag == "html" and stack:  # adds attributes to the one that is open, at most
+            continue
         end_block()
         own, stop = CLOSES.get(tag, (set(), set()))
         for depth in range(len(stack) - 1, -1, -1):

@@ -379,6 +379,12 @@ def test_html_lead_beside_the_body():
     assert html_extract.extract(two).split("\n") == [text.strip(), lead]
 
 
+@pytest.mark.parametrize("start", ["<article>", "<p>", "<img src=x>", "", "<b>", "</head>", "</head><body>", "<body>"])
+def test_html_head_left_open(start):
+    head = "<html><head>\n <title>T</title><meta name=a><link href=x>\n<style>p{}</style><script>1</script><noscript>No</noscript>\n"
+    assert html_extract.extract(f"{head}{start}Some text, of a few words.") == "Some text, of a few words."
+
+
 @pytest.mark.parametrize("anchor", ["<a name=top>", "<a href=#top>", "<p><a href=#top>Top"])
 def test_html_anchor_left_open(anchor):
     text = "Some text, of a few words. It goes on."
