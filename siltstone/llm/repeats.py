@@ -94,6 +94,16 @@ def chosen(grams: np.ndarray, least: np.ndarray, inside: np.ndarray, reach: int)
     return np.flatnonzero((most == grams) & (most > 0))
 
 
+def _sorted(h: np.ndarray, extra: np.ndarray | None, doc: np.ndarray, at: np.ndarray) -> tuple:
+    """(order, the entries in it: by gram, document and place; where a gram begins)."""
+    order = np.lexsort((at, doc, h) if extra is None else (at, doc, extra, h))
+    h, extra, doc, at = h[order], extra if extra is None else extra[order], doc[order], at[order]
+    new = h[1:] != h[:-1]
+    if extra is not None:
+        new |= extra[1:] != extra[:-1]
+    return order, h, extra, doc, at, np.append(True, new)[: len(h)]
+
+
 class _Packer:
     """Settles repeats among a task's own entries and packs the rest by bucket."""
 
@@ -102,18 +112,16 @@ class _Packer:
         self.held: list[tuple] = []
         self.size = 0
 
-    def add(self, h: np.ndarray, extra: np.ndarray, doc: np.ndarray, at: np.ndarray) -> None:
+    def add(self, h: np.ndarray, extra: np.ndarray | None, doc: np.ndarray, at: np.ndarray) -> None:
         self.held.append((h, extra, doc, at))
         self.size += len(h)
 
     def flush(self) -> pd.DataFrame:
-        h, extra, doc, at = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        h, extra, doc, at = (np.concatenate(x) if x[0] is not None else None for x in zip(*self.held, strict=True))
         self.held, self.size = [], 0
-        order = np.lexsort((at, doc, extra, h))
-        h, extra, doc, at = h[order], extra[order], doc[order], at[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (extra[1:] != extra[:-1])))
+        _, h, extra, doc, at, new = _sorted(h, extra, doc, at)
         once = np.append(True, new[1:] | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))  # a repeated row lists its places again
-        h, extra, doc, at, new = h[once], extra[once], doc[once], at[once], new[once]
+        h, extra, doc, at, new = h[once], extra[once] if self.check else None, doc[once], at[once], new[once]
         more = np.append(~new[1:], False)  # the next entry is of the same gram
         spread = np.where(new, h, mix64(doc.view(np.uint64))) % np.uint64(self.buckets)
         order = np.argsort(spread, kind="stable")
@@ -138,16 +146,37 @@ def _texts(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
         yield batch.iloc[first : first + len(texts)], texts
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, first, blob): each whole text as one segment, compressed since it will be shuffled."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), text_bytes(text_col).alias("blob"))
+def document_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """((doc, digest) of all rows, (id, digest, doc) of all documents or None if each doc is its id).
+
+    Rows of one id and text are one document. doc numbers documents in the order of their ids, null first,
+    and of their digests. Ids do for that, unless one of them (or null) has unlike texts.
+    """
+    digest = F.unhex(F.sha2(text_bytes(text_col), 256))
+    rows = store(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), digest.alias("digest")), "digests")
+    short = F.xxhash64("digest")
+    if not rows.groupBy("id").agg(F.min(short).alias("low"), F.max(short).alias("high")).filter("low < high").count():
+        return rows.select(F.col("id").alias("doc"), "digest"), None
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.distinct().repartitionByRange(parts, "id", "digest").sortWithinPartitions("id", "digest")
+    keys = store(ordered.withColumn("doc", F.monotonically_increasing_id()), "keys")
+    return keys.select("doc", "digest"), keys
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame | None) -> DataFrame:
+    """(id, doc, first, blob): each whole text as one segment, compressed since it will be shuffled; keys as of document_keys."""
+    text = text_bytes(text_col)
+    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id")
+    rows = docs.select(ids, *([] if keys is None else [F.unhex(F.sha2(text, 256)).alias("digest")]), text.alias("blob"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pd.DataFrame({"doc": batch["doc"], "first": np.int64(0), "blob": [press.compress(b) for b in batch["blob"]]})
+            yield batch.assign(blob=[press.compress(b) for b in batch["blob"]])
 
-    return rows.mapInPandas(pack, "doc long, first long, blob binary")
+    rows = rows.mapInPandas(pack, rows.schema)
+    rows = rows.withColumn("doc", F.col("id")) if keys is None else rows.join(keys, ["id", "digest"])
+    return rows.select("id", "doc", F.lit(0).cast("long").alias("first"), "blob")
 
 
 def repeated_places(segments: DataFrame, tokens: Tokens, k: int, window: int, later_only: bool = False, only: tuple[int, np.ndarray] | None = None) -> DataFrame:
@@ -175,7 +204,7 @@ def repeated_places(segments: DataFrame, tokens: Tokens, k: int, window: int, la
                 if len(at):
                     first = np.searchsorted(owner, np.arange(len(texts)))
                     place = at - first[owner[at]] + rows["first"].to_numpy()[owner[at]]
-                    extra = gram_hashes(hashes, k, 1)[at] if later_only else np.zeros(len(at), np.uint64)
+                    extra = gram_hashes(hashes, k, 1)[at] if later_only else None
                     packer.add(grams[at], extra, rows["doc"].to_numpy()[owner[at]], place)
                 if packer.size >= FLUSH:
                     yield packer.flush()
@@ -188,12 +217,11 @@ def repeated_places(segments: DataFrame, tokens: Tokens, k: int, window: int, la
             return
         join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for b in held for x in b[name]])
         h, doc, at, more = join("h", np.uint64), join("doc", np.int64), join("at", np.int64), join("more", bool)
-        extra = join("extra", np.uint64) if later_only else np.zeros(len(h), np.uint64)
+        extra = join("extra", np.uint64) if later_only else None
         known_doc, known_at = join("known_doc", np.int64), join("known_at", np.int64)
         del held
-        order = np.lexsort((at, doc, extra, h))
-        h, extra, doc, at, more = h[order], extra[order], doc[order], at[order], more[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (extra[1:] != extra[:-1]))) if len(h) else np.zeros(0, bool)
+        order, h, extra, doc, at, new = _sorted(h, extra, doc, at)
+        more = more[order]
         if later_only:
             start = np.flatnonzero(new)
             lead = np.repeat(start, np.diff(np.append(start, len(h))))
@@ -287,10 +315,8 @@ def survivors(segments: DataFrame, places: DataFrame, tokens: Tokens, k: int, wi
     return segments.join(places, "doc").select("doc", "first", "blob", "at", "n").mapInPandas(cut, "doc long, first long, blob binary")
 
 
-def copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc): the documents whose whole text stands in a document of smaller id."""
-    digest = F.unhex(F.sha2(text_bytes(text_col), 256))
-    rows = store(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), digest.alias("digest")), "digests")
+def copies(rows: DataFrame) -> DataFrame:
+    """(doc): the documents whose whole text stands in a document of smaller number; rows as of document_keys."""
     many = rows.groupBy("digest").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     many = store(many.select("digest", "least"), "copied")
     return store(rows.join(many, "digest").filter("doc != least").select("doc").distinct(), "copies")

@@ -5,9 +5,9 @@ and at last the windows themselves; see repeats. A document that equals one of s
 without any window.
 
 Defined results: null counts as empty; a text of fewer words than a window loses nothing; rows that
-repeat an id and text are one document and get one result each (rows with one id but unlike texts are
-not told apart); a null id sorts before all others. Extra columns are ignored; an empty table gives no
-rows.
+repeat an id and text are one document and get one result each; rows with one id but unlike texts are
+documents of their own, in the order of their texts' SHA-256; a null id sorts before all others. Extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,21 +36,22 @@ def covered(at: bytes, n: bytes, size: int, window: int) -> np.ndarray:
     return np.cumsum(turn)[:size] > 0
 
 
-def later_windows(docs: DataFrame, tokens: repeats.Tokens, levels: tuple[int, ...], window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(segments left by the last level, copies of whole texts)."""
-    copied = repeats.copies(docs, id_col, text_col)
-    segments = repeats.packed(docs, id_col, text_col)
+def later_windows(docs: DataFrame, tokens: repeats.Tokens, levels: tuple[int, ...], window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(whole texts, segments left by the last level, copies of whole texts)."""
+    rows, keys = repeats.document_keys(docs, id_col, text_col)
+    copied = repeats.copies(rows)
+    whole = segments = repeats.packed(docs, id_col, text_col, keys)
     for k in levels:
         places = repeats.gathered(repeats.repeated_places(segments, tokens, k, window)).join(copied, "doc", "left_anti")
         segments = store(repeats.survivors(segments, places, tokens, k, window), f"segments-{k}")
-    return segments, copied
+    return whole, segments, copied
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (the remaining words joined by a space)."""
     spark = docs.sparkSession
     small_batches(spark)
-    segments, copied = later_windows(docs, repeats.word_tokens, levels, window, id_col, text_col)
+    whole, segments, copied = later_windows(docs, repeats.word_tokens, levels, window, id_col, text_col)
     places = repeats.gathered(repeats.repeated_places(segments, repeats.word_tokens, window, window, later_only=True))
     marks = places.unionByName(copied.select("doc", F.lit(b"").alias("at"), F.lit(b"").alias("n")))
 
@@ -58,7 +59,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc, blob, at, runs in zip(batch["doc"], batch["blob"], batch["at"], batch["n"], strict=True):
+            for own, blob, at, runs in zip(batch["id"], batch["blob"], batch["at"], batch["n"], strict=True):
                 w = unpack.decompress(blob).split()
                 n = len(w)
                 if at is None:
@@ -68,9 +69,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 else:
                     gone = covered(at, runs, n, window)
                     kept = [x for x, g in zip(w, gone.tolist(), strict=True) if not g]
-                out.append((doc, n, n - len(kept), b" ".join(kept)))
-            yield pd.DataFrame(out, columns=["doc", "n_words", "n_removed", "kept"])
+                out.append((own, n, n - len(kept), b" ".join(kept)))
+            yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
 
-    joined = repeats.packed(docs, id_col, text_col).join(marks, "doc", "left").select("doc", "blob", "at", "n")
-    found = joined.mapInPandas(remove, "doc long, n_words long, n_removed long, kept binary")
-    return found.select(F.nullif("doc", F.lit(repeats.NULL_ID)).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    joined = whole.join(marks, "doc", "left").select("id", "blob", "at", "n")
+    found = joined.mapInPandas(remove, "id long, n_words long, n_removed long, kept binary")
+    return found.select(F.nullif("id", F.lit(repeats.NULL_ID)).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))

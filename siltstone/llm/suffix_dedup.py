@@ -9,9 +9,9 @@ each are removed. Grams that very many stretches share would make one shard larg
 128-bit digest of the window instead, spread over all buckets.
 
 Defined results: null counts as empty; a text of fewer bytes than a window loses nothing; rows that
-repeat an id and text are one document and get one result each (rows with one id but unlike texts are
-not told apart); a null id sorts before all others. Extra columns are ignored; an empty table gives no
-rows.
+repeat an id and text are one document and get one result each; rows with one id but unlike texts are
+documents of their own, in the order of their texts' SHA-256; a null id sorts before all others. Extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -222,8 +222,9 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that remain)."""
     spark = docs.sparkSession
     small_batches(spark)
-    copied = repeats.copies(docs, id_col, text_col)
-    segments = repeats.packed(docs, id_col, text_col)
+    rows, keys = repeats.document_keys(docs, id_col, text_col)
+    copied = repeats.copies(rows)
+    whole = segments = repeats.packed(docs, id_col, text_col, keys)
     for k in levels:
         places = repeats.gathered(repeats.repeated_places(segments, repeats.byte_tokens, k, window)).join(copied, "doc", "left_anti")
         segments = store(repeats.survivors(segments, places, repeats.byte_tokens, k, window), f"stretches-{k}")
@@ -238,7 +239,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc, blob, at, runs in zip(batch["doc"], batch["blob"], batch["at"], batch["n"], strict=True):
+            for own, blob, at, runs in zip(batch["id"], batch["blob"], batch["at"], batch["n"], strict=True):
                 text = unpack.decompress(blob)
                 if at:
                     gone = covered(at, runs, len(text), window)
@@ -247,9 +248,9 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 removed = int(gone.sum())
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if removed else text
-                out.append((doc, len(text), removed, spans, kept))
-            yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+                out.append((own, len(text), removed, spans, kept))
+            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = repeats.packed(docs, id_col, text_col).join(marks, "doc", "left").select("doc", "blob", "at", "n")
-    result = joined.mapInPandas(remove, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return result.select(F.nullif("doc", F.lit(repeats.NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    joined = whole.join(marks, "doc", "left").select("id", "blob", "at", "n")
+    result = joined.mapInPandas(remove, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return result.select(F.nullif("id", F.lit(repeats.NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")

@@ -175,6 +175,27 @@ def test_null_ids_come_first(spark):
     assert {(r.doc_id, r.n_removed) for r in suffix_dedup.dedup_bytes(rows).collect()} == {(None, 0), (5, len(text))}
 
 
+def test_rows_of_one_id_with_unlike_texts(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    alone, shared, passage = ([word() for _ in range(n)] for n in (60, 50, 40))
+    low = -(2**62)
+    rows = [(low, shared), (5, shared), (5, alone), (5, alone), (7, alone[:30] + passage), (None, passage + alone[:5]), (None, alone[30:] + passage), (None, shared[:25]), (2**60, passage[:25]), (2**60 + 1, passage[5:])]
+    rows += [(i, [word() for _ in range(30)]) for i in range(10, 40)]
+    texts = [(i, " ".join(w)) for i, w in rows]
+    order = {(i is not None, i or 0, hashlib.sha256(t.encode()).digest()): (i, t) for i, t in texts}
+    names = {order[k]: n for n, k in enumerate(sorted(order))}  # rows of one id and text are one document
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+
+    gone = removed({n: t.split(" ") for (_, t), n in names.items()}, 20)
+    wanted = [(i, len(t.split()), sum(gone[names[i, t]]), " ".join(w for w, g in zip(t.split(), gone[names[i, t]]) if not g)) for i, t in texts]
+    assert sorted(map(repr, substring_dedup.dedup_substrings(table).collect())) == sorted(f"Row(doc_id={i!r}, n_words={n}, n_removed={r}, kept={k!r})" for i, n, r, k in wanted)
+
+    gone = removed({n: t.encode() for (_, t), n in names.items()}, 100)
+    wanted = [(i, len(t), bytes(b for b, g in zip(t.encode(), gone[names[i, t]]) if not g)) for i, t in texts]
+    assert sorted(((r.doc_id, r.n_bytes, bytes(r.kept)) for r in suffix_dedup.dedup_bytes(table).collect()), key=repr) == sorted(wanted, key=repr)
+
+
 def brute_fingerprint(text):
     words = WORD.findall(ascii_lower(text or ""))
     if not words:
