@@ -428,7 +428,7 @@ over_sql(
 over_sql(
     "sql_window_and_sets",
     {"orders": _plain("orders")},
-    "SELECT o_custkey, o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM {orders} WHERE o_custkey < 200",
+    "SELECT o_custkey, o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM {orders} UNION SELECT o_custkey, min(o_orderkey), CAST(0 AS BIGINT) FROM {orders} GROUP BY o_custkey",
 )
 over_sql(
     "sql_left_semi_anti",

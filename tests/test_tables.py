@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import types as T
 
 import delta_fixtures as fx
+import table_queries
 from siltstone.errors import DataFileRead, DeletionVectorRead, InvalidConfiguration, InvalidProjection, PhysicalToLogicalTransform, ReaderError, SnapshotLoad, SqlAdapter, UnsupportedPredicate, UnsupportedProtocol
 from siltstone.functions.predicate import And, Boolean, Compare, IsNotNull, IsNull, Not, Or, Scalar, is_in, not_in
 from siltstone.operators import dynamic, sql
@@ -543,3 +544,14 @@ def test_runtime_pruning(regions, spark):
     assert dynamic.join_pruned(regions, other, "id", ["name"], counters).count() == 1 and counters.filters_unsupported == 1
     verdicts = {("region",): "accepted", (): "no_referenced_columns", ("id",): "data_column", ("id", "region"): "mixed_partition_and_data", ("x",): "unknown_column", ("__siltstone_a",): "internal_column"}
     assert {k: dynamic.classify(regions, list(k)).value for k in verdicts} == verdicts
+
+
+def test_window_and_sets_cover_all_orders(spark, tmp_path):
+    orders = [(k, k % 300, decimal.Decimal(k * 37 % 101)) for k in range(1, 1001)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice decimal(12,2)").coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "orders.parquet")
+    wanted = [(c, min(k for k, o, _ in orders if o == c), 0) for c in range(300)]
+    for c in range(300):
+        ranked = sorted((-p, k) for k, o, p in orders if o == c)
+        wanted += [(c, k, place) for place, (_, k) in enumerate(ranked, 1)]
+    assert sorted(tuple(r) for r in table_queries.QUERIES["sql_window_and_sets"](spark, str(tmp_path)).collect()) == sorted(wanted)
