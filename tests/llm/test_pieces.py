@@ -1,3 +1,4 @@
+import random
 import struct
 
 import numpy as np
@@ -7,9 +8,6 @@ from hypothesis import strategies as st
 
 from siltstone.llm import pieces
 
-spm = pytest.importorskip("sentencepiece")
-
-
 @pytest.fixture(scope="module")
 def codec():
     return pieces.Codec(pieces.PieceModel(pieces.load()))
@@ -17,7 +15,7 @@ def codec():
 
 @pytest.fixture(scope="module")
 def library():
-    return spm.SentencePieceProcessor(model_file=pieces.MODEL)
+    return pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
 
 
 def both(codec, library, texts):
@@ -31,6 +29,43 @@ def test_fixed_texts(codec, library):
     both(codec, library, ["hello world", "  two  spaces ", "", "a\nb\tc", " x", "▁ raw", "é€𝄞\0z", "ﬁ Å", "\r\n", "a    b", "<0x0A> <s> </s>", " " * 90, "x" * 500, "ab" * 300 + " " + "the" * 40, "漢字" * 60])
 
 
+@pytest.mark.parametrize("n", [39, 40, 41, 161, 2_000])
+def test_long_words(codec, library, n):
+    rng = random.Random(n)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/é漢"
+    texts = ["a" * n, "ab" * n, "the" * n + "n", "".join(rng.choices(letters, k=n)), "".join(rng.choices("ae", k=n)), " " * n + "x", "word " + "".join(rng.choices("aeinst", k=n)) + " word"]
+    both(codec, library, texts)
+
+
+def test_one_very_long_word(codec, library):
+    for text in ("a" * 60_001, "".join(random.Random(1).choices("abcdefgh01", k=40_000))):
+        ids, counts = codec.encode([text])
+        assert ids.tolist() == library.encode(text) and counts.tolist() == [len(ids)]
+
+
+def test_pairs_are_remembered_as_they_are():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**43, 150_000))
+    memo = pieces._Pairs()
+    for part in np.array_split(keys, 7):
+        assert not memo.find(part)[1].any()
+        memo.add(part, part % 3 == 0)
+    answer, known = memo.find(keys)
+    assert known.all() and (answer == (keys % 3 == 0)).all() and not memo.find(keys + 2**43)[1].any()
+
+
+def test_neighbours_that_merging_keeps_apart(codec, library):
+    """Against the library's encoding of the joined text of pairs of pieces."""
+    m, rng = codec.model, random.Random(2)
+    some = [i for i in m.plain if m.reached[i] and not m.pieces[i].startswith(pieces.MARK)]
+    pairs = [(rng.choice(some), rng.choice(some)) for _ in range(3000)]
+    found = m.apart(*np.array(pairs).T)
+    space = library.encode("\n")  # a byte, from which nothing merges
+    for (a, b), apart in zip(pairs, found.tolist(), strict=True):
+        whole = library.encode("\n" + m.pieces[a] + m.pieces[b])[len(space) :]
+        assert apart == (whole == [a, b]), (m.pieces[a], m.pieces[b])
+
+
 def test_sample_documents(codec, library):
     import pyarrow.parquet as pq
 
