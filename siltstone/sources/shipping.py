@@ -10,9 +10,19 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from siltstone.errors import InvalidConfiguration
+
 _SHIPPED: set[str] = set()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only local mode may do with a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise InvalidConfiguration("spark_checkpoint_dir_is_not_set")
+    return (named or tempfile.mkdtemp(prefix="siltstone-")).rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Once for each application: put the package in the shared folder, from where executors fetch it."""
     from siltstone.sources.files import Folder
@@ -25,7 +35,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, f"{root.name}/{path.relative_to(root)}")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-")
+    base = shared_folder(spark)
     base = base if ":" in base else f"file://{base}"
     name = f"siltstone-{uuid.uuid4().hex}.zip"
     Folder(spark, base).write(name, data.getvalue())
