@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import store
+from siltstone.llm.common import release, store
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,16 +20,20 @@ def components(links: DataFrame) -> DataFrame:
     names = None
     while not links.isEmpty():
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        superseded = [links, names]
         parent = store(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "parent")
         for _ in range(2):
-            further = parent.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            further, old = parent.select(F.col("node").alias("root"), F.col("root").alias("top")), parent
             parent = store(parent.join(further, "root").select("node", F.col("top").alias("root")), "parent")
+            release(old)
         if names is None:
             names = parent
         else:
             further = parent.select(F.col("node").alias("root"), F.col("root").alias("top"))
             names = store(names.join(further, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "names")
         a, b = (parent.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
-        moved = store(links.join(a, "a").select("a_root", "b"), "moved").join(b, "b").select("a_root", "b_root").filter("a_root != b_root")
+        half = store(links.join(a, "a").select("a_root", "b"), "moved")
+        moved = half.join(b, "b").select("a_root", "b_root").filter("a_root != b_root")
         links = store(moved.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "links")
+        release(*superseded, half, *([] if names is parent else [parent]))
     return names if names is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))

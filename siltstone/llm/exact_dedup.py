@@ -14,18 +14,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import LOWER, UPPER
+from siltstone.llm.common import LOWER, UPPER, keep_documents, store, text_hash
 
 INDEX_SCHEMA = "digest binary, keep_id bigint, group_size bigint"
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest): SHA-256 of each text with A-Z lower-cased."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """(doc_id, digest, more): SHA-256 of each text with A-Z lower-cased."""
     normal = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normal.cast("binary"), 256)).alias("digest"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normal.cast("binary"), 256)).alias("digest"), *more)
 
 
 class DigestIndex:
@@ -61,7 +61,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
     Both sides of the closing join are shuffled by digest alone, so adaptive execution splits hot digests.
     """
-    batch = digests(docs, id_col, text_col)
+    batch = store(digests(docs, id_col, text_col), "digests")  # texts are read and hashed once
     index.append_new(batch)
     found = batch.join(index.entries().hint("merge"), "digest")
     return found.select(
@@ -74,12 +74,18 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 
 def keep_one(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, columns unchanged, of the document that stays of each group of equal texts; each row once."""
-    kept = exact_dedup(docs, index, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sum"))
-    normal = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    rows = docs.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_sum": F.sha2(normal.cast("binary"), 256)})
-    rows = rows.join(kept.hint("merge"), F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_sum") == F.col("__sum")), "left_semi")
-    return rows.dropDuplicates(["__own_id", "__own_sum"]).select(*docs.columns)
+    """The rows, columns unchanged, of the document that stays of each group of equal texts; each document once.
+
+    Of unlike texts of the largest id, equal but for case, the one with the least hash stays.
+    """
+    batch = digests(docs, id_col, text_col, text_hash(text_col).alias("x"))
+    batch = store(batch, "digests")
+    index.append_new(batch)
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    found = batch.join(index.entries().drop("group_size"), "digest")
+    first = found.filter(same).groupBy("digest").agg(F.min("x").alias("first_x"))
+    found = found.join(first, "digest", "left").select("doc_id", "x", F.coalesce(same & (F.col("x") == F.col("first_x")), F.lit(False)).alias("kept"))
+    return keep_documents(docs, found, id_col, text_col)
 
 
 def fresh_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
