@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts of hashed n-grams by language are summed over a bounded sample of labelled rows; the matrix of
-log-probabilities is broadcast, and batches of texts are scored in numpy as sparse rows of n-gram ids.
+Counts of hashed n-grams and of documents by language are summed over a bounded sample of labelled rows;
+the matrix of log-probabilities and the languages' own are broadcast, and batches of texts are scored in numpy as sparse rows of n-gram ids.
 Texts are read whole, very long ones in overlapping pieces whose n-grams are each counted once.
 
 Defined results: a null text or one without a letter gets `und` and score 0, as does every text where
@@ -11,7 +11,6 @@ no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small_batches
+from siltstone.llm.common import sampled, small_batches
 
 #: The model's size: n-gram orders, log2 of the hashed features, the most languages (its size bound).
 ORDERS = (1, 2, 3)
 BITS = 16
 MAX_LANGS = 256
-#: About so many labelled rows are learned from, chosen by a hash of the id.
+#: What is added to each count of an n-gram.
+SMOOTHING = 0.5
+#: About so many labelled rows are learned from, chosen by a hash.
 MAX_TRAINING_DOCS = 20_000
 #: Code points handled at once.
 PIECE = 1 << 19
@@ -34,7 +35,9 @@ EVIDENCE = 60
 #: The least score that the filtering stage accepts.
 MIN_SCORE = 0.5
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages in order, log-probabilities by feature and language, log-probabilities of the languages.
+Model = tuple[list[str], np.ndarray, np.ndarray]
+
 _FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))
 
 
@@ -83,17 +86,19 @@ def _features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield made(held)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAINING_DOCS) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities by feature and language) from the rows that may be learned from.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAINING_DOCS) -> Model:
+    """(languages, log-probabilities by feature and language, those of languages) from the rows that may be learned from.
 
-    These are rows with text and language whose crc32(id as text) mod 4 is not 2; a sample of about
-    max_docs of them is taken by the hash of the id.
+    These are rows with text and language whose crc32(id as text) mod 4 is not 2. Of them a sample of about
+    max_docs is taken by a hash of id, text and language; rows that repeat all three are learned once.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL AND coalesce(crc32(CAST(id AS binary)), 0) % 4 != 2")
-    share = min(1.0, max_docs / max(1, rows.count()))
-    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+    some = sampled(rows, rows.count(), max_docs, "id", "text", "lang")
+    named = some.select("lang").distinct().limit(MAX_LANGS + 1).count()
+    if named > MAX_LANGS:
+        raise ValueError(f"the broadcast model holds {MAX_LANGS} languages at most")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -110,17 +115,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found = some.select("text", "lang").repartition(8).mapInPandas(count, "lang string, feature long, n long")
     table = found.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(table["lang"].unique())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; the broadcast model holds {MAX_LANGS} at most")
     counts = np.zeros(((1 << BITS) + 1, len(langs)))
     counts[table["feature"], np.searchsorted(langs, table["lang"])] = table["n"]
-    weight = counts[:-1] + 0.5
-    return langs, np.log(weight / weight.sum(0)).astype(np.float32) if langs else np.zeros((1 << BITS, 0), np.float32)
+    if not langs:
+        return [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0)
+    weight = counts[:-1] + SMOOTHING
+    return langs, np.log(weight / weight.sum(0)).astype(np.float32), np.log(counts[-1] / counts[-1].sum())
 
 
-def score_texts(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tuple[list[str], np.ndarray]:
+def score_texts(texts: list[str | None], langs: list[str], logs: np.ndarray, prior: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The language and score of each text."""
-    named = np.array([t is not None and bool(_LETTER.search(t)) for t in texts], bool)
+    named = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
     out, score = ["und"] * len(texts), np.zeros(len(texts))
     if not langs or not named.any():
         return out, score
@@ -132,6 +137,7 @@ def score_texts(texts: list[str | None], langs: list[str], logs: np.ndarray) ->
         start = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
         total[docs[start]] += np.add.reduceat(logs[ids], start, axis=0, dtype=np.float64)
         grams[docs[start]] += np.diff(np.concatenate((start, [len(docs)])))
+    total += prior
     scaled = total * (np.minimum(grams, EVIDENCE) / grams)[:, None]
     best = total.argmax(1)
     odds = np.exp(scaled - scaled[np.arange(len(where)), best][:, None])
@@ -141,16 +147,15 @@ def score_texts(texts: list[str | None], langs: list[str], logs: np.ndarray) ->
     return out, score
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        langs, logs = shared.value
         for batch in batches:
-            batch["lang_pred"], batch["score"] = score_texts(list(batch["text"]), langs, logs)
+            batch["lang_pred"], batch["score"] = score_texts(list(batch["text"]), *shared.value)
             yield batch[["doc_id", "lang_pred", "score"]]
 
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(score, "doc_id long, lang_pred string, score double")
@@ -158,7 +163,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def accept(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+def accept(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows, all columns unchanged, whose language is known with at least min_score."""
     spark = docs.sparkSession
     small_batches(spark)

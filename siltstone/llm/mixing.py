@@ -74,14 +74,14 @@ def thresholds(rows: DataFrame, budget: dict[str, Fraction]) -> dict[str, tuple[
         if above < 64:
             part = part.filter(F.shiftright("h", above) == F.col("prefix"))
         cell = part.groupBy("skey", F.shiftright("h", shift).alias("p")).agg(
-            F.sum("size").alias("words"), F.countDistinct("h").alias("hashes"), F.first("room").alias("room")
+            F.sum("size").alias("words"), (F.min("h") < F.max("h")).alias("more"), F.first("room").alias("room")
         )
         below = F.coalesce(F.sum("words").over(Window.partitionBy("skey").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         edge = cell.withColumn("below", below).filter("below < room and below + words >= room")
         reached, open_ = open_, {}
         for r in edge.collect():
             acc = reached[r.skey][1] + r.below
-            if r.hashes > 1 and shift > 0:
+            if r.more and shift > 0:
                 open_[r.skey] = (r.p, acc)
                 continue
             nearer = abs(acc + r.words - budget[r.skey]) < abs(budget[r.skey] - acc)

@@ -5,7 +5,8 @@ value decomposition gives the latent space. Its vectors are broadcast, every doc
 them are computed exactly in blocks, and the nearest vote with their similarity as weight.
 
 Defined results: null counts as empty; a text without words, or any text when nothing is labelled, gets
-the share of label 1 in the sample (0.5 if there is none); repeated label rows count each. Extra columns
+the share of label 1 in the sample (0.5 if there is none); label rows that repeat id and label count once, and of
+an id with unlike texts one is learned. Extra columns
 are ignored; an empty table gives no rows.
 """
 
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small_batches, text_bytes
+from siltstone.llm.common import sampled, small_batches, text_bytes, text_hash
 from siltstone.llm.textbatch import chunks, span_hashes, words
 
 #: Hashed features, latent dimensions, neighbours that vote.
@@ -27,7 +28,7 @@ DIMS = 48
 NEIGHBOURS = 25
 #: Features for the lengths of runs of one word.
 RUNS = 5
-#: About so many labelled rows are learned from, chosen by a hash of the id; bounds what is broadcast.
+#: About so many labelled rows are learned from, chosen by a hash; bounds what is broadcast.
 MAX_LABELLED = 4_000
 #: Rows of one block of cosines.
 BLOCK = 128
@@ -114,11 +115,10 @@ def train(
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(
         "doc_id IS NOT NULL AND y IS NOT NULL AND crc32(CAST(CAST(doc_id AS string) AS binary)) % 5 != 0"
     )
-    share = min(1.0, max_labelled / max(1, known.count()))
-    if share < 1:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    # the sample is bounded by max_labelled, hence the broadcast
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).join(F.broadcast(known), "doc_id")
+    known = sampled(known, known.count(), max_labelled, "doc_id", "y").distinct()
+    # the sample is bounded by max_labelled, hence the broadcast; of unlike texts of one id the one with the least hash is learned
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", text_hash()).alias("text")).select("doc_id", "y", text_bytes().alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

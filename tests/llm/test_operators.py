@@ -1,15 +1,20 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 
 from siltstone.llm import exact_dedup, fingerprints, html_extract, langid, mixing, quality, repeats, simhash, substring_dedup, suffix_dedup
+from siltstone.llm.common import below, release, sampled, small_batches, store
 from siltstone.llm.components import components
 from siltstone.llm.suffix_array import common_prefixes, suffix_array
 
@@ -243,13 +248,53 @@ def test_near_links_of_crowded_fingerprints(spark, part):
     assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
 
 
-@pytest.mark.parametrize("n", [1, 10**6, 10**9, 10**13])
-def test_block_choices_miss_no_pair(n):
-    masks = simhash.block_choices(n)
-    rng = random.Random(n)
+@pytest.mark.parametrize("most", [1, 3, 4])
+def test_block_masks_miss_no_pair(most):
+    masks = simhash.block_masks(most)
+    assert len(masks) == most + 1 and sum(m % 2**64 for m in masks) == 2**64 - 1
+    rng = random.Random(most)
     for _ in range(300):
-        flips = sum(1 << b for b in rng.sample(range(64), 3))
-        assert any(flips & m == 0 for m in masks)
+        flips = sum(1 << b for b in rng.sample(range(64), most))
+        assert any(flips & (m % 2**64) == 0 for m in masks)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_gray_index_finds_all_pairs_of_a_group(seed):
+    rng = np.random.default_rng(seed)
+    bits = 14 if seed % 2 else 64  # crowded, or spread out with planted pairs
+    fp = rng.integers(0, 2**bits - 1, 700, dtype=np.uint64, endpoint=True)
+    fp[350:] = fp[:350] ^ (np.uint64(1) << rng.integers(0, bits, 350).astype(np.uint64))
+    group = rng.integers(0, 3, 700)
+    group[350:] = group[:350]
+    index = simhash.GrayIndex(group, fp)
+    where = {(int(g), int(f)) for g, f in zip(group, fp)}
+    want = {(g, min(f, h), max(f, h)) for g, f in where for g2, h in where if g == g2 and f != h and (f ^ h).bit_count() <= 3}
+    owner = {}
+    for g, f in where:
+        owner.setdefault(f, set()).add(g)
+    found = {(min(int(index.fp[a]), int(index.fp[b])), max(int(index.fp[a]), int(index.fp[b]))) for x, y in index.near(3) for a, b in zip(x, y)}
+    assert found == {(f, h) for _, f, h in want}
+
+
+def test_gray_order_saves_work():
+    """Neighbours in Gray order share more bits than neighbours by value, so more pairs of nodes are dropped early."""
+    work = {}
+    for gray in (True, False):
+        work[gray] = 0
+        for seed in range(5):
+            fp = np.random.default_rng(seed).integers(0, 2**48, 4096, dtype=np.uint64)
+            visited = []
+            pairs = sum(len(a) for a, _ in simhash.GrayIndex(np.zeros(4096, np.int64), fp, gray).near(3, visited))
+            work[gray] += sum(visited)
+            assert sum(visited) < 4096 * 4097 // 4 and pairs >= 0
+    assert work[True] < 0.95 * work[False], work
+
+
+def test_gray_order_in_sql(spark):
+    fps = [0, 1, 2**63, 2**64 - 1, *(random.Random(3).getrandbits(64) for _ in range(50))]
+    rows = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "fp long").select("fp", simhash.gray_order("fp").alias("g")).collect()
+    rank = simhash.gray_rank(np.array(fps, np.uint64))
+    assert [r.g + 2**63 for r in rows] == rank.tolist()
 
 
 def test_mix(spark, docs):
@@ -310,9 +355,103 @@ def test_language(spark):
 def test_language_pieces_count_each_gram_once(monkeypatch):
     text = "".join(random.Random(2).choices("abc é", k=5000))
     logs = np.random.default_rng(1).random((1 << langid.BITS, 2)).astype(np.float32)
-    whole = langid.score_texts([text], ["a", "b"], logs)
+    whole = langid.score_texts([text], ["a", "b"], logs, np.zeros(2))
     monkeypatch.setattr(langid, "PIECE", 64)
-    assert langid.score_texts([text], ["a", "b"], logs)[0] == whole[0] and langid.score_texts([text], ["a", "b"], logs)[1] == pytest.approx(whole[1])
+    again = langid.score_texts([text], ["a", "b"], logs, np.zeros(2))
+    assert again[0] == whole[0] and again[1] == pytest.approx(whole[1])
+
+
+def test_language_against_plain_naive_bayes(spark):
+    """Word by word counting, with n-grams told apart by themselves: the same predictions, but for hash collisions, and scores."""
+    rng = random.Random(8)
+    pools = {"aa": "abcdefg", "bb": "defghij", "cc": "ghijklma"}
+    rows = [(i, " ".join("".join(rng.choices(pools[x], k=rng.randint(1, 6))) for _ in range(rng.randint(1, 12))), x) for i, x in enumerate(rng.choices(list(pools), weights=(6, 3, 1), k=300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(text):
+        padded = f" {text.lower()} "
+        return [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)]
+
+    learned = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted(pools)
+    counts = {x: Counter(g for t, y in learned if y == x for g in grams(t)) for x in langs}
+    prior = {x: math.log(sum(y == x for _, y in learned) / len(learned)) for x in langs}
+    size = {x: sum(counts[x].values()) + langid.SMOOTHING * 2**langid.BITS for x in langs}
+    found = {r.doc_id: r for r in langid.identify(df, langid.train(df)).collect()}
+    same, close = [], []
+    for i, t, _ in rows:
+        own = grams(t)
+        total = {x: prior[x] + sum(math.log((counts[x][g] + langid.SMOOTHING) / size[x]) for g in own) for x in langs}
+        best = max(langs, key=total.get)
+        odds = [math.exp((total[x] - total[best]) * min(len(own), langid.EVIDENCE) / len(own)) for x in langs]
+        same.append(found[i].lang_pred == best)
+        close.append(abs(found[i].score - 1 / sum(odds)) < 0.02)
+        assert found[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    assert sum(same) >= 0.99 * len(rows) and sum(close) >= 0.9 * len(rows)
+
+
+@pytest.mark.parametrize("text", ["½ ² ①", "Ⅷ 12", "_ - !", "١٢٣"])
+def test_texts_without_a_letter(spark, text):
+    rows = [(i, "abc def", "aa") for i in range(20)] + [(50, text, None), (51, text + " ª", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, langid.train(df)).collect()}
+    assert found[50] == ("und", 0.0) and found[51][0] == "aa"  # an ordinal indicator is a letter
+
+
+@pytest.mark.parametrize("count", [10, 10**6, 10**12, 10**17])
+def test_samples_neither_vanish_nor_grow(count):
+    limit = below(count, 4_000)
+    assert limit is None if count <= 4_000 else abs((limit + 2**63) * count / 2**64 / 4_000 - 1) < 0.01 and limit > -(2**63)
+
+
+def test_samples_hold_a_hot_row_once(spark):
+    rows = spark.createDataFrame([(7, "hot", "aa")] * 300 + [(i, f"t{i}", "aa") for i in range(600)], "doc_id long, text string, lang string")
+    found = sampled(rows, 900, 90, "doc_id", "text").collect()
+    assert 50 <= len(found) <= 140 and len({(r.doc_id, r.text) for r in found}) == len(found)
+
+
+def test_learning_more_than_the_bounds(spark):
+    rows = [(i, "fine words here and there " * 3 if i % 2 else "BAD!! STUFF%% 99 " * 3, "aa" if i % 2 else "bb") for i in range(400)]
+    docs = spark.createDataFrame(rows + rows[:1] * 400, "doc_id long, text string, lang string")
+    model = langid.train(docs, max_docs=60)
+    assert model[0] == ["aa", "bb"] and {r.lang_pred == ("aa" if r.doc_id % 2 else "bb") for r in langid.identify(docs, model).collect()} == {True}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(1, 1)] * 400, "doc_id long, quality int")
+    model = quality.train(docs, labels, max_labelled=60)
+    assert 20 <= len(model.labels) <= 60 and {r.predicted == r.doc_id % 2 for r in quality.classify(docs, model).collect()} == {True}
+
+
+def test_one_document_of_a_group_stays(spark):
+    t, u = "some text of a few words", "quite another text of other words here"
+    rows = spark.createDataFrame([(1, t, "x"), (None, t, "y"), (None, u, "z"), (1, u, "p"), (1, u, "q")], "doc_id long, text string, doc string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(rows).collect()) == sorted([(1, t), (1, u)])
+    alone = rows.filter("doc_id IS NULL")
+    assert sorted(r.doc for r in simhash.keep_one(alone).collect()) == ["y", "z"]
+    cased = spark.createDataFrame([(3, "A b", "x"), (3, "a b", "y"), (3, "a b", "z"), (2, "a B", "w")], "doc_id long, text string, doc string")
+    for keep in (lambda d: simhash.keep_one(d), lambda d: exact_dedup.keep_one(d, exact_dedup.fresh_index(spark, 2))):
+        first, again = keep(cased).collect(), keep(cased.repartition(3)).collect()
+        assert len(first) == 1 and first == again
+
+
+def test_tables_are_removed(spark, docs):
+    made = store(spark.range(5).toDF("a"), "some")
+    path = Path(made.stored_at.removeprefix("file:"))
+    assert path.is_dir() and made.count() == 5
+    release(made, None)
+    assert not path.exists()
+
+
+def test_batches_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "7")
+        small_batches(spark)
+        assert spark.conf.get(key) == "7"
+        spark.conf.set(key, "0")  # without bound
+        small_batches(spark)
+        assert spark.conf.get(key) == "512"
+    finally:
+        spark.conf.set(key, old)
 
 
 def test_held_out_language_accuracy(spark):
