@@ -20,11 +20,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import store, text_bytes
+from siltstone.llm.common import release, store, text_bytes
 from siltstone.llm.textbatch import chunks, mix64, span_hashes, words
 
 #: Entries that a task settles and packs at once.
 FLUSH = 1 << 19
+#: Bytes of text for each bucket of entries.
+BUCKET_BYTES = 64 << 20
 #: Stands for a null id.
 NULL_ID = -(2**63)
 
@@ -146,21 +148,24 @@ def _texts(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
         yield batch.iloc[first : first + len(texts)], texts
 
 
-def document_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """((doc, digest) of all rows, (id, digest, doc) of all documents or None if each doc is its id).
+def document_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None, int]:
+    """((doc, digest) of all rows, (id, digest, doc) of all documents or None if each doc is its id, buckets).
 
-    Rows of one id and text are one document. doc numbers documents in the order of their ids, null first,
+    There is a bucket for each BUCKET_BYTES of text, so that what a task holds of one does not grow with the
+    data. Rows of one id and text are one document. doc numbers documents in the order of their ids, null first,
     and of their digests. Ids do for that, unless one of them (or null) has unlike texts.
     """
     digest = F.unhex(F.sha2(text_bytes(text_col), 256))
-    rows = store(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), digest.alias("digest")), "digests")
+    size = F.octet_length(text_bytes(text_col)).cast("long").alias("size")
+    rows = store(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), digest.alias("digest"), size), "digests")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     short = F.xxhash64("digest")
     if not rows.groupBy("id").agg(F.min(short).alias("low"), F.max(short).alias("high")).filter("low < high").count():
-        return rows.select(F.col("id").alias("doc"), "digest"), None
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.distinct().repartitionByRange(parts, "id", "digest").sortWithinPartitions("id", "digest")
+        return rows.select(F.col("id").alias("doc"), "digest"), None, buckets
+    ordered = rows.select("id", "digest").distinct().repartitionByRange(buckets, "id", "digest").sortWithinPartitions("id", "digest")
     keys = store(ordered.withColumn("doc", F.monotonically_increasing_id()), "keys")
-    return keys.select("doc", "digest"), keys
+    return keys.select("doc", "digest"), keys, buckets
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame | None) -> DataFrame:
@@ -179,16 +184,12 @@ def packed(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame | None)
     return rows.select("id", "doc", F.lit(0).cast("long").alias("first"), "blob")
 
 
-def repeated_places(segments: DataFrame, tokens: Tokens, k: int, window: int, later_only: bool = False, only: tuple[int, np.ndarray] | None = None) -> DataFrame:
+def repeated_places(segments: DataFrame, tokens: Tokens, k: int, window: int, buckets: int, later_only: bool = False) -> DataFrame:
     """Places of the segments' looked-at grams that occur more than once, dealt for gathered().
 
     With later_only, k must be the window: places of all windows but the first of each content, by
-    document and place. Such windows are told apart by 128 bits of hash. only: (length, sorted hashes) of
-    least grams to which such windows are confined.
+    document and place. Such windows are told apart by 128 bits of hash.
     """
-    spark = segments.sparkSession
-    confined = spark.sparkContext.broadcast(only)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     reach = window - k + 1
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,9 +199,6 @@ def repeated_places(segments: DataFrame, tokens: Tokens, k: int, window: int, la
                 hashes, owner, *_ = tokens(texts)
                 grams, least, inside = windows(hashes, owner, k, window)
                 at = chosen(grams, least, inside, reach) if len(least) else np.zeros(0, np.int64)
-                if confined.value is not None and len(at):
-                    known = windows(hashes, owner, confined.value[0], window)[1]
-                    at = at[np.isin(known[at], confined.value[1])]
                 if len(at):
                     first = np.searchsorted(owner, np.arange(len(texts)))
                     place = at - first[owner[at]] + rows["first"].to_numpy()[owner[at]]
@@ -251,7 +249,7 @@ def dealt(doc: np.ndarray, at: np.ndarray, n: np.ndarray, parts: int) -> pd.Data
     return pd.DataFrame(rows, columns=["part", "doc", "at", "n"])
 
 
-def gathered(runs: DataFrame) -> DataFrame:
+def gathered(runs: DataFrame, parts: int) -> DataFrame:
     """(doc, at, n): one row for each document, with its runs of places united, 8 bytes a value."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,7 +272,6 @@ def gathered(runs: DataFrame) -> DataFrame:
             e = np.append(first, len(doc))[a + 1 : a + 1 + len(s)]
             yield pd.DataFrame({"doc": doc[s], "at": [at[i:j].tobytes() for i, j in zip(s, e, strict=True)], "n": [n[i:j].tobytes() for i, j in zip(s, e, strict=True)]})
 
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return runs.repartitionById(parts, "part").mapInPandas(gather, "doc long, at binary, n binary")
 
 
@@ -320,3 +317,12 @@ def copies(rows: DataFrame) -> DataFrame:
     many = rows.groupBy("digest").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     many = store(many.select("digest", "least"), "copied")
     return store(rows.join(many, "digest").filter("doc != least").select("doc").distinct(), "copies")
+
+
+def narrowed(segments: DataFrame, copied: DataFrame, tokens: Tokens, levels: tuple[int, ...], window: int, buckets: int) -> DataFrame:
+    """What is left of the segments once each level's grams have been looked at; copies of whole documents go."""
+    for k in levels:
+        places = gathered(repeated_places(segments, tokens, k, window, buckets), buckets).join(copied, "doc", "left_anti")
+        before, segments = segments, store(survivors(segments, places, tokens, k, window), f"segments-{k}")
+        release(before)
+    return segments

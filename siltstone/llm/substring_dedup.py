@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import repeats
-from siltstone.llm.common import small_batches, store
+from siltstone.llm.common import small_batches
 
 #: Words of a window, and the gram lengths looked at before.
 WINDOW = 20
@@ -36,23 +36,15 @@ def covered(at: bytes, n: bytes, size: int, window: int) -> np.ndarray:
     return np.cumsum(turn)[:size] > 0
 
 
-def later_windows(docs: DataFrame, tokens: repeats.Tokens, levels: tuple[int, ...], window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(whole texts, segments left by the last level, copies of whole texts)."""
-    rows, keys = repeats.document_keys(docs, id_col, text_col)
-    copied = repeats.copies(rows)
-    whole = segments = repeats.packed(docs, id_col, text_col, keys)
-    for k in levels:
-        places = repeats.gathered(repeats.repeated_places(segments, tokens, k, window)).join(copied, "doc", "left_anti")
-        segments = store(repeats.survivors(segments, places, tokens, k, window), f"segments-{k}")
-    return whole, segments, copied
-
-
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (the remaining words joined by a space)."""
     spark = docs.sparkSession
     small_batches(spark)
-    whole, segments, copied = later_windows(docs, repeats.word_tokens, levels, window, id_col, text_col)
-    places = repeats.gathered(repeats.repeated_places(segments, repeats.word_tokens, window, window, later_only=True))
+    rows, keys, buckets = repeats.document_keys(docs, id_col, text_col)
+    copied = repeats.copies(rows)
+    whole = repeats.packed(docs, id_col, text_col, keys)
+    segments = repeats.narrowed(whole, copied, repeats.word_tokens, levels, window, buckets)
+    places = repeats.gathered(repeats.repeated_places(segments, repeats.word_tokens, window, window, buckets, later_only=True), buckets)
     marks = places.unionByName(copied.select("doc", F.lit(b"").alias("at"), F.lit(b"").alias("n")))
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,24 +2,23 @@
 
 Each pass of the induction handles a whole bucket (all suffixes with one first symbol) at once. The
 leftmost-smaller substrings are sorted by induction, named, and the string of names is sorted in the same
-way; where its alphabet is so wide that buckets hold few suffixes, ranks are doubled instead.
+way. Many names are written as two digits each, so that there are few buckets at every level: suffixes that
+begin with a first digit are in the order of the names' own suffixes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Fewest symbols a bucket must hold on average for the recursion to sort bucket by bucket.
-FILL = 64
-
-
-def _narrow(text: np.ndarray, symbols: int) -> np.ndarray:
-    return text.astype(np.uint16 if symbols <= 1 << 16 else np.int64)
+#: Most names that are symbols by themselves; more are written as two digits.
+DIGIT = 512
+#: Symbols of a text at which the recursion ends.
+SHORT = 1 << 16
 
 
 def _place(array: np.ndarray, fill: np.ndarray, symbols: np.ndarray, items: np.ndarray, forward: bool) -> None:
     """Put the items, in order, at the next free places of their symbols' buckets."""
-    order = np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols, kind="stable")  # a counting sort, since symbols have 16 bits
     s, items = symbols[order].astype(np.int64), items[order]
     new = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
     size = np.diff(np.append(new, len(s)))
@@ -77,10 +76,10 @@ def _induce(text: np.ndarray, small: np.ndarray, first: np.ndarray, seeds: np.nd
     return out
 
 
-def _doubled(text: np.ndarray) -> np.ndarray:
-    """The suffix array by doubling the length by which ranks tell suffixes apart."""
+def _short(text: np.ndarray) -> np.ndarray:
+    """The suffix array of a short text, where the recursion ends: the length by which ranks tell suffixes apart is doubled."""
     rank, step, n = text.astype(np.int64), 1, len(text)
-    while True:
+    while n > 1:
         key = rank * (n + 1)
         key[:-step] += rank[step:] + 1
         order = np.argsort(key, kind="stable")
@@ -89,6 +88,7 @@ def _doubled(text: np.ndarray) -> np.ndarray:
         if rank[order[-1]] == n - 1:
             return order
         step *= 2
+    return np.arange(n)
 
 
 def _same_substrings(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -107,9 +107,19 @@ def _same_substrings(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> n
 def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     """Starts of the suffixes in order; the text holds 0..symbols-1 and ends with its only 0."""
     n = len(text)
-    if n < 3:
-        return np.arange(n)[::-1]
-    text = _narrow(text, symbols)
+    if n <= SHORT:
+        return _short(text)
+    if symbols <= DIGIT:
+        return _sorted(text, symbols)
+    base = int(np.ceil(np.sqrt(symbols)))  # both digits alike, so that deeper levels get shorter; they begin at 1, the end is 0
+    digits = np.zeros(2 * n - 1, np.int64)
+    digits[:-1:2], digits[1::2] = (text[:-1].astype(np.int64) - 1) // base + 1, (text[:-1].astype(np.int64) - 1) % base + 1
+    order = _sorted(digits, base + 1)
+    return order[order % 2 == 0] // 2
+
+
+def _sorted(text: np.ndarray, symbols: int) -> np.ndarray:
+    n, text = len(text), text.astype(np.uint16)
     # a suffix is smaller than the next if its first differing symbol is; equal symbols take the next one's class
     change = np.concatenate((np.sign(text[1:].astype(np.int64) - text[:-1]), [0]))
     nearest = np.where(change != 0, np.arange(n), n - 1)
@@ -128,9 +138,7 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     if names[-1] + 1 < len(seeds):
         name_of = np.zeros(n, np.int64)
         name_of[ordered] = names
-        reduced, kinds = name_of[seeds], int(names[-1]) + 1
-        deeper = suffix_array(reduced, kinds) if len(reduced) >= FILL * kinds else _doubled(reduced)
-        ordered = seeds[deeper]
+        ordered = seeds[suffix_array(name_of[seeds], int(names[-1]) + 1)]
     return _induce(text, small, first, ordered)
 
 

@@ -1,12 +1,12 @@
 """Suffix-array dedup of byte strings that stand elsewhere before.
 
 Windows of 100 bytes count; no window crosses documents. Texts are first cut down to the parts whose
-windows share a looked-at gram of 32, then of 64 bytes with another place (see repeats). Each
-looked-at gram's windows form one stretch of bytes; stretches go to the shard of their gram, so equal
-windows meet in one shard, and equal stretches are made one. A shard sorts the suffixes of its stretches by
-induction, and common prefixes of 100 bytes and more tell which windows are equal; all but the first of
-each are removed. Grams that very many stretches share would make one shard large: their windows go by a
-128-bit digest of the window instead, spread over all buckets.
+windows share a looked-at gram of 32, then of 64 bytes with another place (see repeats). The
+windows in a row that have one least gram form one stretch of bytes; stretches go to the shard of their gram,
+so equal windows meet in one shard, and equal stretches are made one. A shard sorts the suffixes of its
+stretches by induction, and common prefixes of 100 bytes and more tell which windows are equal; all but the
+first of each are removed. A gram that very many stretches share is split among shards by two more grams of
+the window.
 
 Defined results: null counts as empty; a text of fewer bytes than a window loses nothing; rows that
 repeat an id and text are one document and get one result each; rows with one id but unlike texts are
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import repeats
-from siltstone.llm.common import small_batches, store
+from siltstone.llm.common import small_batches
 from siltstone.llm.substring_dedup import covered
 from siltstone.llm.suffix_array import common_prefixes, suffix_array
 from siltstone.llm.textbatch import mix64
@@ -33,42 +33,36 @@ from siltstone.llm.textbatch import mix64
 #: Bytes of a window, and the gram lengths looked at before.
 WINDOW = 100
 LEVELS = (32, 64)
-#: A gram is common beyond this many places, or this share of all places of grams that tasks meet often.
+#: Hash cells by which gram hashes are counted; one is crowded beyond COMMON runs of windows and 16 times the average.
+CELLS = 1 << 16
 COMMON = 20_000
-COMMON_SHARE = 1 / 20_000
-#: A task reports grams that it meets this often; bounds what goes unreported to this for each task.
-OFTEN = 8
 #: Bytes of stretches sorted at once.
-SHARD_BYTES = 1 << 19
-#: Stretches that a task settles and packs at once.
-SETTLED = 1 << 16
+SHARD_BYTES = 1 << 20
+#: Bytes of stretches that a task settles and packs at once.
+SETTLED_BYTES = 12 << 20
 
 
-def common_grams(segments: DataFrame, k: int, window: int, common: int = COMMON) -> np.ndarray:
-    """Sorted hashes of the grams in very many places: at most 1 / COMMON_SHARE of them."""
+def crowded_cells(segments: DataFrame, k: int, window: int, common: int = COMMON) -> np.ndarray:
+    """Which of CELLS hash cells hold more windows' runs than one shard should: at most CELLS / 16 of them.
+
+    Counts are exact, so that no gram with so many runs is missed; a rare one may share a cell with it.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
+        total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for _, texts in repeats._texts(batch):
                 hashes, owner, *_ = repeats.byte_tokens(texts)
-                grams, least, inside = repeats.windows(hashes, owner, k, window)
-                if len(least):
-                    held.append(grams[repeats.chosen(grams, least, inside, window - k + 1)])
-        if held:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pd.DataFrame({"h": h[n >= OFTEN].view(np.int64), "n": n[n >= OFTEN]})
-
-    sums = store(segments.select("blob").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "gram-counts")
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    found = [r.h for r in sums.filter(F.col("n") > max(common, int(total * COMMON_SHARE))).collect()]
-    return np.sort(np.array(found, np.int64).view(np.uint64))
+                _, least, inside = repeats.windows(hashes, owner, k, window)
+                first = inside & np.append(True, ~inside[:-1] | (least[1:] != least[:-1]))[: len(least)]
+                total += np.bincount((least[first] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at, "n": total[at]})
 
-
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+    sums = segments.select("blob").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    crowded = np.zeros(CELLS, bool)
+    crowded[sums["cell"][sums["n"] > max(common, 16 * int(sums["n"].sum()) // CELLS)]] = True
+    return crowded
 
 
 def later_in_shard(group: np.ndarray, texts: list[bytes], doc: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,12 +115,35 @@ def _first_stretches(h: np.ndarray, texts: list[bytes], doc: np.ndarray, at: np.
     return new, known
 
 
-def shard_windows(segments: DataFrame, k: int, window: int, common: np.ndarray) -> DataFrame:
-    """Windows of uncommon grams that are not the first of their content, found by shard, dealt for gathered()."""
-    spark = segments.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shard_keys(hashes: np.ndarray, owner: np.ndarray, k: int, window: int, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the shard key of each window, whether it lies in one text): the same wherever a window's content stands.
+
+    It is the least gram hash or, where that lies in a crowded cell, this and the least two by other hashes:
+    windows that share one gram but not their surroundings differ in one of these.
+    """
+    _, key, inside = repeats.windows(hashes, owner, k, window)
+    many = crowded[(key % np.uint64(CELLS)).astype(np.int64)] & inside
+    if many.any():
+        for salt in (1, 2):
+            other = repeats.sliding(repeats.gram_hashes(hashes, k, salt), window - k + 1, np.minimum)
+            key = np.where(many, mix64(key ^ mix64(other)), key)
+    return key, inside
+
+
+def recurring(hashes: np.ndarray, owner: np.ndarray, k: int, window: int, begin: np.ndarray, finish: np.ndarray) -> np.ndarray:
+    """Whether the least gram of a run of windows stands at several places in it, without which no two windows are equal."""
+    grams, least, inside = repeats.windows(hashes, owner, k, window)
     reach = window - k + 1
-    shared = spark.sparkContext.broadcast(common)
+    at = repeats.chosen(grams, least, inside, reach)
+    values, which = np.unique(grams[at], return_inverse=True)
+    placed = np.sort(which * np.int64(len(grams)) + at)
+    own = np.searchsorted(values, least[begin]) * np.int64(len(grams))
+    return np.searchsorted(placed, own + finish + reach) - np.searchsorted(placed, own + begin) > 1
+
+
+def shard_windows(segments: DataFrame, k: int, window: int, crowded: np.ndarray, buckets: int) -> DataFrame:
+    """Windows that are not the first of their content, found by shard, dealt for gathered()."""
+    shared = segments.sparkSession.sparkContext.broadcast(crowded)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -134,46 +151,27 @@ def shard_windows(segments: DataFrame, k: int, window: int, common: np.ndarray)
         for batch in batches:
             for rows, texts in repeats._texts(batch):
                 hashes, owner, *_ = repeats.byte_tokens(texts)
-                grams, least, inside = repeats.windows(hashes, owner, k, window)
-                if not len(least):
+                if len(hashes) < window:
                     continue
-                at = repeats.chosen(grams, least, inside, reach)
-                at = at[~_among(grams[at], shared.value)]
-                # the windows of a gram: the run of starts around it with this gram as their least
-                joins = inside[:-1] & inside[1:] & (least[:-1] == least[1:])
-                turn = np.flatnonzero(np.append(~joins, True))  # runs of equal least grams end here
-                low = np.maximum(at - reach + 1, 0)
-                good = lambda i, g: inside[i] & (least[i] == g)
-                run = np.searchsorted(turn, np.arange(len(least)))
-                run_end, run_start = turn[run], np.concatenate(([0], turn[:-1] + 1))[run]
-                last = np.minimum(at, len(least) - 1)
-                begin = np.full(len(at), -1)
-                finish = np.full(len(at), -1)
-                todo = np.arange(len(at))
-                step = last.copy()
-                while len(todo):  # walk from the last window towards the first, run by run
-                    hit = good(step[todo], grams[at[todo]])
-                    h = todo[hit]
-                    begin[h], finish[h] = np.maximum(run_start[step[h]], low[h]), np.minimum(run_end[step[h]], last[h])
-                    todo = todo[~hit]
-                    step[todo] = run_start[step[todo]] - 1
-                    todo = todo[step[todo] >= low[todo]]
-                ok = begin >= 0
-                at, begin, finish = at[ok], begin[ok], finish[ok]
-                first = np.searchsorted(owner, np.arange(len(texts)))
-                base = first[owner[begin]]
+                key, inside = shard_keys(hashes, owner, k, window, shared.value)
+                # a stretch holds the windows in a row that have one key
+                new = np.append(True, ~inside[:-1] | (key[1:] != key[:-1]))
+                begin = np.flatnonzero(new & inside)
+                finish = np.flatnonzero(np.append(new[1:] | ~inside[1:], True) & inside)
+                base = np.searchsorted(owner, np.arange(len(texts)))[owner[begin]]
                 joined = b"".join(texts)
-                held.append((grams[at], rows["doc"].to_numpy()[owner[begin]], begin - base + rows["first"].to_numpy()[owner[begin]], [joined[b : f + window] for b, f in zip(begin.tolist(), finish.tolist(), strict=True)]))
-                size += len(at)
-            if size >= SETTLED:
-                yield from pack(held)
-                held, size = [], 0
-        if size:
+                stretches = [joined[b : f + window] for b, f in zip(begin.tolist(), finish.tolist(), strict=True)]
+                held.append((key[begin], rows["doc"].to_numpy()[owner[begin]], begin - base + rows["first"].to_numpy()[owner[begin]], recurring(hashes, owner, k, window, begin, finish), stretches))
+                size += int((finish - begin).sum()) + len(begin) * window
+                if size >= SETTLED_BYTES:
+                    yield from pack(held)
+                    held, size = [], 0
+        if held:
             yield from pack(held)
 
     def pack(held: list[tuple]) -> Iterator[pd.DataFrame]:
-        h, doc, at = (np.concatenate([x[i] for x in held]) for i in range(3))
-        texts = [t for x in held for t in x[3]]
+        h, doc, at, twice = (np.concatenate([x[i] for x in held]) for i in range(4))
+        texts = [t for x in held for t in x[4]]
         new, known = _first_stretches(h, texts, doc, at)  # the first is sent; the others are later for certain
         spread = np.where(known, mix64(doc.view(np.uint64)), h) % np.uint64(buckets)
         order = np.argsort(spread, kind="stable")
@@ -186,8 +184,8 @@ def shard_windows(segments: DataFrame, k: int, window: int, common: np.ndarray)
             if len(own):
                 fresh, old = own[new[own]], own[known[own]]
                 text = zstandard.compress(b"".join(texts[i] for i in fresh), 1)
-                out.append((b, h[fresh].tobytes(), doc[fresh].tobytes(), at[fresh].tobytes(), count[fresh].tobytes(), text, doc[old].tobytes(), at[old].tobytes(), count[old].tobytes()))
-        yield pd.DataFrame(out, columns=["bucket", "h", "doc", "at", "n", "text", "old_doc", "old_at", "old_n"])
+                out.append((b, h[fresh].tobytes(), doc[fresh].tobytes(), at[fresh].tobytes(), count[fresh].tobytes(), twice[fresh].tobytes(), text, doc[old].tobytes(), at[old].tobytes(), count[old].tobytes()))
+        yield pd.DataFrame(out, columns=["bucket", "h", "doc", "at", "n", "twice", "text", "old_doc", "old_at", "old_n"])
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
@@ -195,6 +193,7 @@ def shard_windows(segments: DataFrame, k: int, window: int, common: np.ndarray)
             return
         join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for b in held for x in b[name]])
         h, doc, at, n = join("h", np.uint64), join("doc", np.int64), join("at", np.int64), join("n", np.int64)
+        twice = join("twice", bool)
         joined = b"".join(zstandard.decompress(x) for b in held for x in b["text"])
         old = join("old_doc", np.int64), join("old_at", np.int64), join("old_n", np.int64)
         del held
@@ -206,14 +205,15 @@ def shard_windows(segments: DataFrame, k: int, window: int, common: np.ndarray)
         found.append((doc[again], at[again], n[again]))
         left = np.flatnonzero(new)
         _, group, size = np.unique(h[left], return_inverse=True, return_counts=True)
-        left, group = left[size[group] > 1], group[size[group] > 1]  # one stretch alone needs no sorting
+        some = (size[group] > 1) | twice[left]  # one stretch alone needs no sorting unless its gram recurs in it
+        left, group = left[some], group[some]
         if len(left):
             d, p = later_in_shard(group, [texts[i] for i in left], doc[left], at[left], window)
             found.append((d, p, np.ones(len(d), np.int64)))
         yield repeats.dealt(*(np.concatenate(x) for x in zip(*found, strict=True)), buckets)
 
     sent = segments.select("doc", "first", "blob").mapInPandas(
-        send, "bucket int, h binary, doc binary, at binary, n binary, text binary, old_doc binary, old_at binary, old_n binary"
+        send, "bucket int, h binary, doc binary, at binary, n binary, twice binary, text binary, old_doc binary, old_at binary, old_n binary"
     )
     return sent.repartitionById(buckets, "bucket").mapInPandas(sort, repeats.DEALT)
 
@@ -222,18 +222,12 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that remain)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows, keys = repeats.document_keys(docs, id_col, text_col)
+    rows, keys, buckets = repeats.document_keys(docs, id_col, text_col)
     copied = repeats.copies(rows)
-    whole = segments = repeats.packed(docs, id_col, text_col, keys)
-    for k in levels:
-        places = repeats.gathered(repeats.repeated_places(segments, repeats.byte_tokens, k, window)).join(copied, "doc", "left_anti")
-        segments = store(repeats.survivors(segments, places, repeats.byte_tokens, k, window), f"stretches-{k}")
-    k = levels[-1]
-    often = common_grams(segments, k, window, common)
-    found = shard_windows(segments, k, window, often)
-    if len(often):
-        found = found.unionByName(repeats.repeated_places(segments, repeats.byte_tokens, window, window, later_only=True, only=(k, often)))
-    marks = repeats.gathered(found).unionByName(copied.select("doc", F.lit(b"").alias("at"), F.lit(b"").alias("n")))
+    whole = repeats.packed(docs, id_col, text_col, keys)
+    segments = repeats.narrowed(whole, copied, repeats.byte_tokens, levels, window, buckets)
+    found = shard_windows(segments, levels[-1], window, crowded_cells(segments, levels[-1], window, common), buckets)
+    marks = repeats.gathered(found, buckets).unionByName(copied.select("doc", F.lit(b"").alias("at"), F.lit(b"").alias("n")))
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()

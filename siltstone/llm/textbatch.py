@@ -6,8 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Bytes of text handled at once; a longer text is handled by itself.
-CHUNK_BYTES = 1 << 19
+#: Bytes of text handled at once, few enough for a core's cache; a longer text is handled by itself.
+CHUNK_BYTES = 1 << 17
 
 _POWERS = np.empty(1 << 16, np.uint64)
 _POWERS[0] = 1
