@@ -3,9 +3,11 @@
 A page is read as blocks of text, each with its root-to-leaf path of block elements. For each path the
 text length, punctuation and link text of all its blocks are added up and divided by their number; the
 ratios are smoothed over neighbouring blocks in page order and fused into one weight, and paths whose
-weight passes a threshold set by the page's own weights are content. The element that holds the content
-is taken whole, but for what is page furniture by its element, role or class, and link lists outside
-article and main.
+weight passes a threshold set by the page's own weights are content. Text that the elements or roles say is
+no article (nav, footer, form and so on) doesn't count; article and main add weight to a path, and names
+like sidebar or comments take weight from it, unless the element holds most of the text. The element that
+holds the content is taken whole, but for paths of such names that are no content themselves, and for link
+lists outside article and main.
 
 Defined results: a null page, or one without content, has the empty text; markup that is cut off or not
 closed is read as browsers do, as far as blocks are concerned; a line break element is white space;
@@ -17,8 +19,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -39,11 +41,14 @@ FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "sele
 HEAD = {"base", "basefont", "bgsound", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 MAIN = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form"}
-WORDS = {
-    "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie",
-    "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager",
-    "pagination", "popup", "promo", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored",
-    "subscribe", "toolbar", "widget",
+#: Words for what is never part of an article, and for its surroundings, which a name in an article may hold by chance.
+ALIEN = {
+    "ad", "ads", "advert", "advertisement", "adverts", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "gdpr", "modal",
+    "newsletter", "popup", "promo", "replies", "respond", "signup", "sponsor", "sponsored", "subscribe",
+}
+AROUND = {
+    "banner", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "notice", "notices", "pager", "pagination",
+    "related", "share", "sharing", "sidebar", "skip", "social", "toolbar", "widget",
 }
 #: What a starting element closes if it is open: the element, and the elements its search stops at.
 CLOSES = {
@@ -52,8 +57,11 @@ CLOSES = {
     "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
 
-#: A path is content from this share of the weight between the page's mean and its heaviest path.
+#: A path is content from the paths' mean weight or this share of the heaviest one's, the less of both.
 THRESHOLD = 0.1
+#: By these a path weighs more in article or main, and less below names of furniture.
+MAIN_WEIGHT = 4.0
+SUSPECT_WEIGHT = 0.05
 #: Blocks on each side that smooth a ratio.
 SPAN = 2
 #: A path outside article and main, and not of headings, is a link list if its text is links to more than this share.
@@ -67,31 +75,54 @@ _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class _Open:
-    __slots__ = ("tag", "name", "skip")
+    __slots__ = ("tag", "path", "skip")
+
+    def __init__(self, tag: str, path: int, skip: bool):
+        self.tag, self.path, self.skip = tag, path, skip
+
+
+class _Paths:
+    """Root-to-leaf paths as a tree: a path is its parent's number and the last element's name."""
 
-    def __init__(self, tag: str, name: str, skip: bool):
-        self.tag, self.name, self.skip = tag, name, skip
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.parent, self.name, self.suspect, self.main = [-1], [""], [False], [False]
 
+    def below(self, parent: int, tag: str, name: str, suspect: bool) -> int:
+        key = (parent, name, suspect)
+        if key not in self.number:
+            self.number[key] = len(self.parent)
+            self.parent.append(parent)
+            self.name.append(name)
+            self.suspect.append(suspect)
+            self.main.append(self.main[parent] or tag in MAIN)
+        return self.number[key]
 
-def _furniture(tag: str, attrs: str, inside_main: bool) -> tuple[str, bool]:
-    """(name of the element in paths, whether all in it is furniture)."""
+
+def _judged(tag: str, attrs: str, inside_main: bool) -> tuple[str, bool, bool]:
+    """(name of the element in paths, whether it is no text of the page by what it is, whether its names say so)."""
     skip = tag in FURNITURE or tag == "header" and not inside_main
     if not attrs or attrs.isspace():
-        return tag, skip
+        return tag, skip, False
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(attrs)}
     label = found.get("class", "").split()
     style = found.get("style", "").replace(" ", "").lower()
-    words = {w.lower() for x in (*label, found.get("id", "")) for w in _SPLIT.split(x)}
     skip = skip or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or found.get("role", "").lower() in ROLES
+    suspect = False
     if tag not in ("html", "body", *MAIN):
-        skip = skip or bool(words & WORDS)
-    return f"{tag}.{label[0]}" if label else tag, skip
+        names = [x.lower() for x in (*label, found.get("id", ""))]
+        words = {w.lower() for x in (*label, found.get("id", "")) for w in _SPLIT.split(x)}
+        suspect = bool(words & ALIEN or (set(names) if inside_main else words) & AROUND)
+    return f"{tag}.{label[0]}" if label else tag, skip, suspect
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of each block outside page furniture, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
+def blocks(page: str) -> tuple[list[tuple[int, str, int]], _Paths]:
+    """((path, text, characters in links) of each block that may be text of the page, in page order; the paths)."""
+    out: list[tuple[int, str, int]] = []
+    paths = _Paths()
     stack: list[_Open] = []
+    open_: Counter[str] = Counter()  # tags in the stack
+    skips = 0  # elements in the stack whose text doesn't count
     text: list[str] = []
     links, at = 0, 0
     in_link, closed, link_depth = False, False, 0  # closed: by an end tag, so that it may hold blocks
@@ -99,17 +130,20 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     def end_block() -> None:
         nonlocal links, in_link
         if text:
-            clean = " ".join(html.unescape("".join(text)).split())
-            if clean and not any(o.skip for o in stack):
-                out.append((tuple(o.name for o in stack), clean, min(links, len(clean))))
+            clean = " ".join(html.unescape("".join(text)).split()) if not skips else ""
+            if clean:
+                out.append((stack[-1].path if stack else 0, clean, min(links, len(clean))))
             text.clear()
         links = 0
         in_link = in_link and closed
 
     def close_to(depth: int) -> None:
-        nonlocal in_link
+        nonlocal in_link, skips
         end_block()
-        del stack[depth:]
+        while len(stack) > depth:
+            gone = stack.pop()
+            open_[gone.tag] -= 1
+            skips -= gone.skip
         in_link = in_link and depth >= link_depth
 
     def add(piece: str) -> None:
@@ -138,13 +172,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if tag == "br":
                     add(" ")
                 continue
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag == tag:
-                    close_to(depth)
-                    break
-            else:
-                if tag == "p":
-                    end_block()
+            if open_[tag]:
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                close_to(depth)
+            elif tag == "p":
+                end_block()
             continue
         if stack and stack[-1].tag == "head" and tag not in HEAD:
             close_to(len(stack) - 1)
@@ -169,72 +203,90 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         end_block()
         own, stop = CLOSES.get(tag, (set(), set()))
-        for depth in range(len(stack) - 1, -1, -1):
+        depth = len(stack) - 1
+        while depth >= 0 and any(open_[x] for x in own) and stack[depth].tag not in stop:
             if stack[depth].tag in own:
                 close_to(depth)
                 if tag not in ("tr", "tbody"):
                     break
-            elif stack[depth].tag in stop:
-                break
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth].tag == "p" or tag in MAIN and stack[depth].tag in ("nav", "header"):
-                close_to(depth)
-            elif tag not in MAIN:
-                break
-        name, skip = _furniture(tag, m[3], any(o.tag in MAIN for o in stack))
-        stack.append(_Open(tag, name, skip))
+            depth -= 1
+        while stack and stack[-1].tag == "p":
+            close_to(len(stack) - 1)
+        if tag in MAIN and (open_["nav"] or open_["header"] or open_["p"]):  # they can't hold it, so they were left open
+            close_to(next(d for d, o in enumerate(stack) if o.tag in ("nav", "header", "p")))
+        name, skip, suspect = _judged(tag, m[3], any(open_[x] for x in MAIN))
+        stack.append(_Open(tag, paths.below(stack[-1].path if stack else 0, tag, name, suspect), skip))
+        open_[tag] += 1
+        skips += skip
     end_block()
-    return out
+    return out, paths
+
+
+def path_weights(of: np.ndarray, length: np.ndarray, marks: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The weight of each path, given for each block its path, characters, punctuation and characters in links.
+
+    Both ratios, text without links to blocks and punctuation to blocks, are smoothed over SPAN blocks on each
+    side with falling shares and taken back to paths; their product, less the share of link text, is the weight.
+    """
+    nodes, total = np.bincount(of), np.bincount(of, length)
+    share = np.bincount(of, linked) / np.maximum(total, 1)
+    kernel = SPAN + 1 - np.abs(np.arange(-SPAN, SPAN + 1)).astype(float)
+    near = np.convolve(np.ones(len(of)), kernel)[SPAN : SPAN + len(of)]
+    weights = []
+    for ratio in ((total - np.bincount(of, linked)) / np.maximum(nodes, 1), np.bincount(of, marks) / np.maximum(nodes, 1)):
+        each = ratio[of]
+        even = np.convolve(each, kernel)[SPAN : SPAN + len(each)] / near
+        weights.append(np.bincount(of, (each + even) / 2) / np.maximum(nodes, 1))
+    return weights[0] * np.log1p(weights[1] + 0.5) * (1 - share)
 
 
 def extract(page: str | None) -> str:
     """The page's main text: content blocks joined by a line feed."""
-    found = blocks(page or "")
+    found, tree = blocks(page or "")
     if not found:
         return ""
-    paths = list(dict.fromkeys(p for p, *_ in found))
-    place = {p: i for i, p in enumerate(paths)}
-    of = np.array([place[p] for p, *_ in found])
+    used, of = np.unique([p for p, *_ in found], return_inverse=True)
     length = np.array([len(t) for _, t, _ in found], float)
-    marks = np.array([len(_PUNCT.findall(t)) for _, t, _ in found], float)
     linked = np.array([n for *_, n in found], float)
-    nodes = np.bincount(of)
-    total, share = np.bincount(of, length), np.bincount(of, linked) / np.bincount(of, length)
-    ratios = (total - np.bincount(of, linked)) / nodes, np.bincount(of, marks) / nodes
-    kernel = SPAN + 1 - np.abs(np.arange(-SPAN, SPAN + 1)).astype(float)
-    weights = []
-    for ratio in ratios:  # by block in page order, smoothed, and back to paths
-        each = ratio[of]
-        even = np.convolve(each, kernel)[SPAN : SPAN + len(each)] / np.convolve(np.ones(len(each)), kernel)[SPAN : SPAN + len(each)]
-        weights.append(np.bincount(of, (each + even) / 2) / nodes)
-    fused = weights[0] * np.log1p(weights[1] + 0.5) * (1 - share)
-    in_main = np.array([any(x.split(".")[0] in MAIN for x in p) for p in paths])
-    if not fused.any():  # nothing but links
-        return "\n".join(t for (_, t, _), i in zip(found, of, strict=True) if in_main[i])
-    low = min(fused.mean(), fused.max() * THRESHOLD)
-    content = fused >= low
-    # the deepest element that holds all content, or, if nine tenths of it are in article and main, all content in them
-    ours = np.flatnonzero(content & in_main)
-    if total[ours].sum() < 0.9 * total[content].sum() or not len(ours):
-        ours = np.flatnonzero(content)
-    holder = commonprefix([paths[i] for i in ours])
-    while holder and holder in place and not _holds(holder, paths):
-        holder = holder[:-1]
-    for d, name in enumerate(holder):
-        if name.split(".")[0] in MAIN:
-            holder = holder[: d + 1]
-            break
-    out = []
-    for (path, text, _), i in zip(found, of, strict=True):
-        kept = in_main[i] or content[i] and share[i] <= LINKS or re.fullmatch(r"h[1-6]", path[-1].split(".")[0] if path else "")
-        if path[: len(holder)] == holder and kept:
-            out.append(text)
-    return "\n".join(out)
-
-
-def _holds(path: tuple[str, ...], paths: list[tuple[str, ...]]) -> bool:
-    """Whether blocks stand in elements below the path, not only in its own."""
-    return any(len(p) > len(path) and p[: len(path)] == path for p in paths)
+    marks = np.array([len(_PUNCT.findall(t)) for _, t, _ in found], float)
+    share = np.bincount(of, linked) / np.bincount(of, length)
+    heading = np.array([re.fullmatch(r"h[1-6](\..*)?", tree.name[p]) is not None for p in used])
+    in_main = np.array(tree.main)[used]
+    # an element whose names tell of furniture is none if it holds most of the text, and all that is in article and main
+    mass, main = np.zeros(len(tree.parent)), np.zeros(len(tree.parent))
+    mass[used] = np.bincount(of, length - linked)
+    main[used[in_main]] = 1
+    for p in range(len(mass) - 1, 0, -1):  # children come after their parents
+        mass[tree.parent[p]] += mass[p]
+        main[tree.parent[p]] += main[p]
+    suspect = np.zeros(len(mass), bool)
+    for p in range(1, len(mass)):
+        suspect[p] = suspect[tree.parent[p]] or tree.suspect[p] and (2 * mass[p] <= mass[0] or main[p] < main[0])
+    weight = path_weights(of, length, marks, linked) * np.where(in_main, MAIN_WEIGHT, 1) * np.where(suspect[used], SUSPECT_WEIGHT, 1)
+    if weight.any():
+        content = weight >= min(weight[weight > 0].mean(), weight.max() * THRESHOLD)
+    else:  # nothing but links
+        content = in_main & ~suspect[used]
+    if not content.any():
+        return ""
+    # the deepest element that holds all content
+    count = np.zeros(len(mass), np.int64)
+    count[used[content]] = 1
+    for p in range(len(mass) - 1, 0, -1):
+        count[tree.parent[p]] += count[p]
+    holder = int(np.flatnonzero(count == count[0])[-1])
+    if not (np.array(tree.parent) == holder).any():  # a block by itself: what holds it
+        holder = max(tree.parent[holder], 0)
+    up = holder
+    while up:  # an article is taken whole
+        if tree.name[up].split(".")[0] in MAIN:
+            holder = up
+        up = tree.parent[up]
+    inside = np.zeros(len(mass), bool)
+    for p in range(len(mass)):
+        inside[p] = p == holder or p > 0 and inside[tree.parent[p]]
+    kept = inside[used] & np.where(suspect[used], content, in_main | heading | content & (share <= LINKS))
+    return "\n".join(t for (_, t, _), i in zip(found, of.tolist(), strict=True) if kept[i])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -573,7 +573,81 @@ def test_html_anchor_left_open(anchor):
 
 
 def test_html_link_around_blocks():
-    assert [n for *_, n in html_extract.blocks("<a href=/x><div>Card</div><p>More</p></a><p>Text</p>")] == [4, 4, 0]
+    assert [n for *_, n in html_extract.blocks("<a href=/x><div>Card</div><p>More</p></a><p>Text</p>")[0]] == [4, 4, 0]
+
+
+LONG_TEXT = "Some text, of a few words. It goes on, as texts do. " * 6
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class='layout with-sidebar'><article><h1>T</h1><p>{LONG_TEXT}</p></article></div>", ["T", LONG_TEXT.strip()]),
+        (f"<div id=page class='site has-sidebar'><main><p>{LONG_TEXT}</p></main></div>", [LONG_TEXT.strip()]),
+        (f"<article><div class='entry-header'><h1>Title</h1></div><p>{LONG_TEXT}</p></article>", ["Title", LONG_TEXT.strip()]),
+        (f"<article><p>{LONG_TEXT}</p><section class='related-work'><h2>Work</h2><p>{LONG_TEXT}</p></section></article>", [LONG_TEXT.strip(), "Work", LONG_TEXT.strip()]),
+        (f"<article><p>{LONG_TEXT}</p><div class=comments><p>Great, thanks.</p></div><div class=ad>Buy, now.</div></article>", [LONG_TEXT.strip()]),
+        (f"<div class=ad>Buy this, now.</div><div class=post><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div><div class='post-comments'><p>Great, thanks.</p></div>", [LONG_TEXT.strip()] * 2),
+        ("<div class=ad>Buy this, now. Buy that, then. Or both.</div><article><h1>Head.</h1><p>Short.</article>", ["Head.", "Short."]),
+        (f"<div class='cookie-notice'>We use cookies.</div><div id=nav-wrap class=menu-holder><div><p>{LONG_TEXT}</p><p>Short.</p></div></div>", [LONG_TEXT.strip(), "Short."]),
+    ],
+)
+def test_html_names_of_furniture_do_not_hide_articles(page, want):
+    assert html_extract.extract(f"<html><body>{page}<footer>Foot, note.</footer></body></html>").split("\n") == want
+
+
+def brute_weights(found):
+    """Tag-path ratios, block by block."""
+    out = {}
+    paths = sorted({p for p, *_ in found})
+    own = {p: [b for b in found if b[0] == p] for p in paths}
+    text = {p: sum(len(t) - n for _, t, n in own[p]) / len(own[p]) for p in paths}
+    points = {p: sum(len(re.findall("[.,;:!?…。，、；：！？]", t)) for _, t, _ in own[p]) / len(own[p]) for p in paths}
+    for p in paths:
+        smooth = []
+        for ratio in (text, points):
+            values = []
+            for i, (q, *_) in enumerate(found):
+                if q == p:
+                    near = [(3 - abs(i - j), ratio[found[j][0]]) for j in range(i - 2, i + 3) if 0 <= j < len(found)]
+                    values.append((ratio[p] + sum(w * r for w, r in near) / sum(w for w, _ in near)) / 2)
+            smooth.append(sum(values) / len(values))
+        share = sum(n for *_, n in own[p]) / sum(len(t) for _, t, _ in own[p])
+        out[p] = smooth[0] * math.log(1 + smooth[1] + 0.5) * (1 - share)
+    return [out[p] for p in paths]
+
+
+def test_tag_path_ratios_against_brute_force():
+    import pyarrow.parquet as pq
+
+    pages = [PAGE, *pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()[:60]]
+    for page in pages:
+        found, _ = html_extract.blocks(page)
+        _, of = np.unique([p for p, *_ in found], return_inverse=True)
+        length, linked = (np.array([f(t, n) for _, t, n in found], float) for f in (lambda t, n: len(t), lambda t, n: n))
+        marks = np.array([len(re.findall("[.,;:!?…。，、；：！？]", t)) for _, t, _ in found], float)
+        assert html_extract.path_weights(of, length, marks, linked) == pytest.approx(brute_weights(found))
+
+
+def test_tag_path_ratios_decide(monkeypatch):
+    """Without them adverts and comments come in, on the test pages too."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    with_ratios = [html_extract.extract(p) for p in pages]
+    monkeypatch.setattr(html_extract, "path_weights", lambda of, *_: np.full(of.max() + 1, 1e9))
+    monkeypatch.setattr(html_extract, "SUSPECT_WEIGHT", 1)
+    monkeypatch.setattr(html_extract, "MAIN_WEIGHT", 1)
+    assert sum(a != html_extract.extract(p) for a, p in zip(with_ratios, pages)) > len(pages) / 2
+
+
+@pytest.mark.parametrize("page", ["<div>word, of text. " * 100_000, "<p>a</b></i></q></li></ul>" * 40_000, "<li>x" * 60_000, "<div class=ad><span>x" * 30_000, "<a href=x>y" * 60_000])
+def test_html_takes_linear_time(page):
+    import time
+
+    start = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - start < 20
 
 
 @pytest.mark.parametrize("page", ["<a" * 50_000, '<p "' * 20_000, "<div>" * 3_000 + "deep. text", "<" * 10_000, "&#x110000; &bogus; a &amp b", "a < b > c"])
