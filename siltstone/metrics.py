@@ -1,4 +1,4 @@
-"""Counters of a scan: those of planning are exact, those of execution filled in after an action."""
+"""Counters of a scan: those of planning are exact, those of execution filled in after an action; and of a plan's scans."""
 
 from __future__ import annotations
 
@@ -20,14 +20,14 @@ class ReadMetrics:
     files_filtered_during_planning: int | None = None
     estimated_rows: int | None = None
     estimated_bytes: int | None = None
-    scan_partitions_started: int = 0
-    scan_partitions_completed: int = 0
-    files_started: int = 0
-    files_completed: int = 0
-    batches_produced: int = 0
+    scan_partitions_started: int | None = None
+    scan_partitions_completed: int | None = None
+    files_started: int | None = 0
+    files_completed: int | None = 0
+    batches_produced: int | None = None
     rows_produced: int = 0
     deletion_vector_payloads_loaded: int = 0
-    deletion_vectors_applied: int = 0
+    deletion_vectors_applied: int | None = 0
     deletion_vector_rows_deleted: int = 0
     deletion_vector_failures: int = 0
     deletion_vector_rejections: int = 0
@@ -50,3 +50,34 @@ class MetricsHandle:
     def snapshot(self) -> ReadMetrics:
         with self._lock:
             return self._now
+
+
+@dataclass(frozen=True)
+class PlanScan:
+    """What Spark counted for one file scan of a plan that has run."""
+
+    files: int
+    bytes: int
+    rows: int
+
+
+def plan_scans(frame) -> list[PlanScan]:
+    """The file scans in the plan of a DataFrame, with their counts after an action on that DataFrame."""
+
+    def value(node, name: str) -> int:
+        found = node.metrics().get(name)
+        return int(found.get().value()) if found.isDefined() else 0
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            yield from walk(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            yield from walk(node.plan())
+        elif kind == "FileSourceScanExec":
+            yield PlanScan(value(node, "numFiles"), value(node, "filesSize"), value(node, "numOutputRows"))
+        children = node.children()
+        for i in range(children.size()):
+            yield from walk(children.apply(i))
+
+    return list(walk(frame._jdf.queryExecution().executedPlan()))

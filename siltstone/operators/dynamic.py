@@ -32,6 +32,9 @@ class PruningCounters:
     filters_unsupported: int = 0
     files_kept: int = 0
     files_pruned: int = 0
+    key_snapshots: int = 0
+    files_without_value: int = 0
+    expressions_unsupported: int = 0
 
 
 def classify(table, columns: list[str]) -> Verdict:
@@ -59,8 +62,8 @@ def admitted(files: DataFrame, table, column: str, keys: DataFrame) -> DataFrame
     kind = table.schema[column].dataType
     value = partition_value(F.col("partition_values"), table.physical_names()[column], kind)
     known = keys.select(F.col(keys.columns[0]).cast(kind).alias("__key")).filter("__key IS NOT NULL").distinct()
-    rows = files.withColumn("__value", value)
-    return rows.join(known, F.col("__value") == F.col("__key"), "left_semi").unionByName(rows.filter("__value IS NULL")).drop("__value")
+    rows = files.withColumn("__value", value).join(known, F.col("__value") == F.col("__key"), "left")
+    return rows.filter("__value IS NULL OR __key IS NOT NULL").drop("__value", "__key")
 
 
 def join_pruned(table, keys: DataFrame, column: str, projection: list[str] | None = None, counters: PruningCounters | None = None) -> DataFrame:
@@ -75,8 +78,12 @@ def join_pruned(table, keys: DataFrame, column: str, projection: list[str] | Non
         builder = builder.with_partition_keys(column, keys.select(column))
     else:
         counters.filters_unsupported += 1
+        counters.expressions_unsupported += column not in table.schema.fieldNames()
     scan = builder.build()
     now = scan.metrics.snapshot()
     counters.files_kept += now.files_planned
     counters.files_pruned += now.files_filtered_during_planning or 0
+    if classify(table, [column]) is Verdict.ACCEPTED:
+        counters.key_snapshots += 1
+        counters.files_without_value += sum(not t.partition_values.get(table.physical_names()[column]) for t in scan.tasks)
     return scan.execute().join(keys, column)

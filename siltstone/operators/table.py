@@ -8,15 +8,16 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.errors import DataFileRead, InvalidConfiguration, InvalidProjection, ReaderError, ScanPlanning, SchemaConversion, StorageInitialization
+from siltstone.errors import DataFileRead, InvalidConfiguration, InvalidProjection, ReaderError, ScanPlanning, SchemaConversion, StorageInitialization, UnsupportedBackend
 from siltstone.functions.predicate import Predicate, columns_of, to_column, validate
 from siltstone.metrics import MetricsHandle, ReadMetrics
-from siltstone.options import Backend, ExecutionOptions
-from siltstone.plans.partitioning import host_diagnostics, target_partitions, total
+from siltstone.options import Backend, ExecutionOptions, Repartitioning
+from siltstone.plans.partitioning import Target, host_diagnostics, ranges, target_partitions, total
 from siltstone.plans.skipping import kept_files, partition_value
 from siltstone.sources import log
 from siltstone.sources.deletion_vectors import deleted_rows
@@ -62,11 +63,8 @@ class TableBuilder:
     def load_snapshot(self) -> TableSnapshot:
         """Replay the log; protocol and metadata can be looked at before the schema is built."""
         uri = normalized_uri(self._uri)
-        try:
-            for key, value in self._storage.items():
-                self._spark._jsc.hadoopConfiguration().set(key, value)
-        except Exception as error:
-            raise StorageInitialization("storage_options_invalid") from error
+        if any(not isinstance(x, str) for pair in self._storage.items() for x in pair):
+            raise StorageInitialization("storage_options_invalid")
         _LOG.debug("snapshot_load.started")
         try:
             found = log.load(self._spark, uri, self._version, self._storage)
@@ -163,12 +161,20 @@ class ScanBuilder:
         self._limit: int | None = None
         self._target: int | None = None
         self._execution = table.execution
-        self._keys: tuple[str, DataFrame] | None = None
+        self._repartitioning: Repartitioning | None = None
+        self._keys: list[tuple[str, DataFrame]] = []
 
     def with_projection(self, columns: list[str]) -> ScanBuilder:
         self._projection = list(columns)
         return self
 
+    def with_projection_indexes(self, indexes: list[int]) -> ScanBuilder:
+        """As with_projection, by places in the schema."""
+        names = self._table.schema.fieldNames()
+        if any(not 0 <= i < len(names) for i in indexes):
+            raise InvalidProjection("projection_index_out_of_bounds")
+        return self.with_projection([names[i] for i in indexes])
+
     def with_predicate(self, predicate: Predicate | None) -> ScanBuilder:
         self._predicate = predicate
         return self
@@ -178,16 +184,22 @@ class ScanBuilder:
         return self
 
     def with_target_partitions(self, target: int | None) -> ScanBuilder:
+        """At most so many tasks; with rebalancing just so many."""
         self._target = target
         return self
 
+    def with_repartitioning(self, policy: Repartitioning | None) -> ScanBuilder:
+        """Rebalancing deals the rows evenly among the target's partitions, by a shuffle; else files are only put together."""
+        self._repartitioning = policy
+        return self
+
     def with_execution_options(self, options: ExecutionOptions) -> ScanBuilder:
         self._execution = options
         return self
 
     def with_partition_keys(self, column: str, keys: DataFrame) -> ScanBuilder:
         """Read only files whose value of the partition column is among the keys (one column), or unknown."""
-        self._keys = (column, keys)
+        self._keys.append((column, keys))
         return self
 
     def build(self) -> Scan:
@@ -195,6 +207,7 @@ class ScanBuilder:
         table = self._table
         table.protocol.validate()
         names = [f.name for f in table.schema.fields]
+        check_backend(table.spark, self._execution.reader_backend)
         projection = names if self._projection is None else self._projection
         if len(set(projection)) != len(projection):
             raise InvalidProjection("duplicate_column")
@@ -205,22 +218,27 @@ class ScanBuilder:
         if self._predicate is not None:
             validate(self._predicate, table.schema)
         physical = table.physical_names()
-        files = kept = table.snapshot.files
-        kept = kept_files(kept, self._predicate, table.schema, table.partition_columns, physical)
-        if self._keys is not None:
+        _LOG.debug("scan_plan.started version=%d", table.version)
+        seen = Observation()
+        files = table.snapshot.files.observe(seen, F.count(F.lit(1)).alias("files"))  # the log is replayed once
+        kept = kept_files(files, self._predicate, table.schema, table.partition_columns, physical)
+        for column, keys in self._keys:
             from siltstone.operators.dynamic import admitted
 
-            kept = admitted(kept, table, *self._keys)
+            kept = admitted(kept, table, column, keys)
         try:
-            rows = kept.select("path", "size", "partition_values", F.get_json_object("stats", "$.numRecords").cast("long").alias("records"), "dv").orderBy("path").collect()
-            pruned = files.count() - len(rows) if kept is not files else 0
+            rows = kept.select("path", "size", "partition_values", F.get_json_object("stats", "$.numRecords").cast("long").alias("records"), "dv").collect()
+            rows.sort(key=lambda r: r["path"])
+            found = observed(seen, "files")  # nothing where the predicate admits no file at all
+            pruned = (table.snapshot.files.count() if found is None else found) - len(rows)
         except Exception as error:
+            _LOG.debug("scan_plan.failed")
             raise ScanPlanning("scan_metadata_failed") from error
         if any(r["size"] is None or r["size"] < 0 for r in rows):
             raise ScanPlanning("negative_file_size")
         tasks = [FileTask(r["path"], r["size"], dict(r["partition_values"] or {}), r["records"], r["dv"].asDict() if r["dv"] else None) for r in rows]
         host = host_diagnostics()
-        target = target_partitions(explicit=self._target, parallelism=table.spark.sparkContext.defaultParallelism, file_descriptors=host["file_descriptors"])
+        target = target_partitions(explicit=self._target, parallelism=table.spark.sparkContext.defaultParallelism, file_descriptors=host["file_descriptors"], memory_bytes=host["memory_bytes"])
         metrics = ReadMetrics(
             table.version,
             self._execution.reader_backend,
@@ -231,7 +249,8 @@ class ScanBuilder:
             estimated_rows=total([t.records for t in tasks]),
             estimated_bytes=total([t.size for t in tasks]),
         )
-        return Scan(table, projection, self._predicate, self._limit, tasks, MetricsHandle(metrics), self._execution)
+        _LOG.debug("scan_plan.completed files=%d pruned=%d", len(tasks), pruned)
+        return Scan(table, projection, self._predicate, self._limit, tasks, MetricsHandle(metrics), self._execution, target, self._repartitioning or Repartitioning.FILL_MISSING_PARALLELISM)
 
 
 @dataclass(frozen=True)
@@ -245,6 +264,12 @@ class Scan:
     tasks: list[FileTask]
     metrics: MetricsHandle
     execution: ExecutionOptions
+    target: Target
+    repartitioning: Repartitioning
+
+    def partition_plan(self) -> list[list[tuple[int, int, int]]]:
+        """How the files' bytes fall into the target's partitions: (task, start, end); Spark packs by its own rule."""
+        return ranges([t.size for t in self.tasks], self.target.target_partitions, self.repartitioning is Repartitioning.REBALANCE)
 
     @property
     def schema(self) -> T.StructType:
@@ -260,29 +285,36 @@ class Scan:
         needed = list(dict.fromkeys([*self.projection, *(columns_of(self.predicate) if self.predicate is not None else [])]))
         fields = [f for f in table.schema.fields if f.name in needed]
         tasks = [] if self.limit == 0 else self.tasks
+        _LOG.debug("scan.started files=%d", len(tasks))
+        counts: list[tuple[Observation, Observation]] = []
         if not tasks:
             frame = spark.createDataFrame([], T.StructType([replace_nullable(f) for f in fields]))
         else:
-            frame = self._read(fields, tasks)
+            frame = self._read(fields, tasks, counts if observe else None)
+        if self.target.source == "explicit_override" and tasks:
+            wanted = self.target.target_partitions
+            frame = frame.repartition(wanted) if self.repartitioning is Repartitioning.REBALANCE else frame.coalesce(wanted)
         frame = frame.select(*[F.col(_quoted(c)) for c in self.projection])
         if self.limit is not None:
             frame = frame.limit(self.limit)
         if observe:
             seen = Observation()
             frame = frame.observe(seen, F.count(F.lit(1)).alias("rows"))
-            self.metrics.update(files_started=len(tasks))
-            object.__setattr__(self, "_seen", seen)
+            object.__setattr__(self, "_seen", (seen, counts, len(tasks)))
         return frame
 
     def finish(self) -> ReadMetrics:
         """Metrics after an action on the observed DataFrame (waits for one)."""
-        rows = self._seen.get["rows"]
-        now = self.metrics.snapshot()
-        vectors = sum(1 for t in self.tasks if t.dv)
-        self.metrics.update(rows_produced=rows, files_completed=now.files_started, scan_partitions_started=now.scan_partitions_planned, scan_partitions_completed=now.scan_partitions_planned, deletion_vectors_applied=vectors)
+        seen, counts, files = self._seen
+        rows = observed(seen, "rows") or 0
+        deleted = sum((observed(before, "rows") or 0) - (observed(after, "rows") or 0) for before, after in counts)
+        whole = files if not self.limit else None  # a limit may stop before all files are read
+        vectors = sum(1 for t in self.tasks if t.dv) if files else 0
+        self.metrics.update(rows_produced=rows, files_started=whole, files_completed=whole, deletion_vectors_applied=vectors if whole is not None else None, deletion_vector_rows_deleted=deleted)
+        _LOG.debug("scan.completed rows=%d", rows)
         return self.metrics.snapshot()
 
-    def _read(self, fields: list[T.StructField], tasks: list[FileTask]) -> DataFrame:
+    def _read(self, fields: list[T.StructField], tasks: list[FileTask], counts: list | None) -> DataFrame:
         spark, table = self.table.spark, self.table
         physical = table.physical_names()
         mapped = table.snapshot.mapping_mode in ("name", "id")
@@ -290,7 +322,7 @@ class Scan:
         data = [f for f in own if f.name not in table.partition_columns]
         parts = [f for f in own if f.name in table.partition_columns]
         resolved = {t.path: data_file(table.snapshot.uri, t.path) for t in tasks}
-        shapes = dict(zip([t.path for t in tasks], footers(spark, [resolved[t.path][0] for t in tasks]), strict=True))
+        shapes = dict(zip([t.path for t in tasks], footers(spark, [resolved[t.path][0] for t in tasks], table.snapshot.storage, table.snapshot.shapes), strict=True))
         tuple_of = lambda t: tuple(t.partition_values.get(physical[f.name]) or None for f in parts)
         literal = len({tuple_of(t) for t in tasks}) <= LITERAL_TUPLES
         groups: dict[tuple, list[FileTask]] = defaultdict(list)
@@ -302,7 +334,7 @@ class Scan:
             plan = read_plan(data, shape)
             keyed = with_dv or (parts and not literal)
             try:
-                rows = spark.read.schema(plan.read_schema).parquet(*dict.fromkeys(resolved[t.path][0] for t in members))
+                rows = spark.read.options(**table.snapshot.storage).schema(plan.read_schema).parquet(*dict.fromkeys(resolved[t.path][0] for t in members))
             except Exception as error:
                 raise DataFileRead("data_file_read_failed") from error
             marks = [file_key().alias(KEY), F.col("_metadata.row_index").alias(ROW)] if keyed else []
@@ -315,7 +347,13 @@ class Scan:
             if self.predicate is not None:
                 rows = rows.filter(to_column(self.predicate, lambda c: F.col(_quoted(c))))
             if with_dv:
+                sides = (Observation(), Observation())
+                if counts is not None:
+                    counts.append(sides)
+                    rows = rows.observe(sides[0], F.count(F.lit(1)).alias("rows"))
                 rows = rows.join(gone, [KEY, ROW], "left_anti")
+                if counts is not None:
+                    rows = rows.observe(sides[1], F.count(F.lit(1)).alias("rows"))
             frames.append(rows.select(*[F.col(_quoted(f.name)) for f in fields]))
         return reduce(DataFrame.unionAll, frames)
 
@@ -331,16 +369,25 @@ class Scan:
         if not vectors:
             return None
         try:
-            rows = deleted_rows(self.table.spark, self.table.snapshot.uri, vectors)
+            rows = deleted_rows(self.table.spark, self.table.snapshot.uri, vectors, self.table.snapshot.storage)
         except ReaderError:
             self.metrics.update(deletion_vector_failures=self.metrics.snapshot().deletion_vector_failures + 1)
             raise
-        count = sum(v["cardinality"] or 0 for v in vectors)
+        known = [v["cardinality"] if v["cardinality"] is not None else v["num_records"] for v in vectors]
+        count = sum(known) if None not in known else BROADCAST_DELETED + 1
         self.metrics.update(deletion_vector_payloads_loaded=len(vectors))
         rows = rows.select(F.col("file_key").alias(KEY), F.col("row_index").alias(ROW))
         return F.broadcast(rows) if count <= BROADCAST_DELETED else rows
 
 
+def observed(seen: Observation, name: str) -> int | None:
+    """What an observation counted in an action that is over; None if the optimizer left its part of the plan out."""
+    try:
+        return seen.get[name]
+    except Py4JJavaError:
+        return None
+
+
 def replace_nullable(field: T.StructField) -> T.StructField:
     return T.StructField(field.name, field.dataType, True)
 
@@ -349,9 +396,22 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def check_backend(spark: SparkSession, backend: Backend) -> None:
+    """The row-at-a-time backend is the session's own reader and must have been switched on by row_reader."""
+    if backend is Backend.OFFICIAL_KERNEL and spark.conf.get("spark.sql.parquet.enableVectorizedReader") == "true":
+        raise UnsupportedBackend("official_kernel_backend_not_enabled")
+
+
+def batch_size(spark: SparkSession, rows: int) -> None:
+    """Rows that Spark's vectorised Parquet reader decodes at once."""
+    if rows < 1:
+        raise InvalidConfiguration("batch_size_must_be_positive")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
+
+
 def row_reader(spark: SparkSession, on: bool = True) -> None:
     """Have Spark decode Parquet row by row (the OFFICIAL_KERNEL backend's way), or vectorised again."""
     spark.conf.set("spark.sql.parquet.enableVectorizedReader", str(not on).lower())
 
 
-__all__ = ["Backend", "Scan", "ScanBuilder", "Table", "TableBuilder", "TableSnapshot", "row_reader"]
+__all__ = ["Backend", "Scan", "ScanBuilder", "Table", "TableBuilder", "TableSnapshot", "batch_size", "row_reader"]

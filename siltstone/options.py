@@ -31,8 +31,8 @@ _POSITIVE_OR_NONE = ("max_concurrent_file_reads_per_scan", "parquet_metadata_siz
 class ExecutionOptions:
     """Limits of the reader.
 
-    Spark's task slots bound concurrent reads, so only the backend acts on a plan; the other fields are
-    validated, carried and shown in diagnostics.
+    Spark's task slots bound concurrent reads, so only the backend acts, see check_backend; the other fields
+    are validated and carried.
     """
 
     reader_backend: Backend = Backend.NATIVE_ASYNC

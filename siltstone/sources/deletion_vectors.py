@@ -116,7 +116,7 @@ def _checked(rows: np.ndarray, cardinality: int | None, records: int | None) ->
     return rows
 
 
-def deleted_rows(spark: SparkSession, table: str, vectors: list[dict]) -> DataFrame:
+def deleted_rows(spark: SparkSession, table: str, vectors: list[dict], options: dict[str, str] | None = None) -> DataFrame:
     """(file_key, row_index) of every deleted row; vectors: file_key, dv fields and num_records of each file.
 
     Small payloads are decoded by the driver, so that a missing or damaged one fails the plan; large ones
@@ -140,7 +140,7 @@ def deleted_rows(spark: SparkSession, table: str, vectors: list[dict]) -> DataFr
         paths.setdefault(plain, []).append(v)
         keys[plain] = key
     try:
-        content = spark.read.format("binaryFile").load(sorted(paths)).select("path", "content")
+        content = spark.read.options(**(options or {})).format("binaryFile").load(sorted(paths)).select("path", "content")
     except Exception as error:
         raise DeletionVectorRead("deletion_vector_payload_missing") from error
     asked = {keys[p]: own for p, own in paths.items()} | {re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*):///", r"\1:/", p): own for p, own in paths.items()}

@@ -80,14 +80,22 @@ def s3_auth_mode(uri: str, options: dict[str, str]) -> str | None:
     return "other_explicit" if keys & known else "implicit_provider_chain"
 
 
+def hadoop_conf(spark: SparkSession, options: dict[str, str] | None = None):
+    """The session's Hadoop configuration with a table's own options; nothing global is changed."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for key, value in (options or {}).items():
+        conf.set(key, value)
+    return conf
+
+
 class Folder:
     """A folder of a Hadoop file system, seen from the driver."""
 
-    def __init__(self, spark: SparkSession, uri: str):
+    def __init__(self, spark: SparkSession, uri: str, options: dict[str, str] | None = None):
         self._jvm = spark._jvm
         try:
             self._path = self._jvm.org.apache.hadoop.fs.Path(self._jvm.java.net.URI(encoded(unquote(uri))) if "%" in uri else self._jvm.org.apache.hadoop.fs.Path(uri).toUri())
-            self._fs = self._path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+            self._fs = self._path.getFileSystem(hadoop_conf(spark, options))
         except Exception as error:
             raise StorageInitialization("object_store_initialization_failed") from error
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,15 +66,15 @@ def segment(names: list[str], version: int | None = None) -> Segment:
     return Segment(last, base, complete.get(base, ()) if base is not None else (), tuple(commits[v] for v in needed))
 
 
-def _of_commits(spark: SparkSession, log: str, names: tuple[str, ...]) -> DataFrame:
-    rows = spark.read.schema(ACTIONS).json([f"{log}/{n}" for n in names])
+def _of_commits(spark: SparkSession, log: str, names: tuple[str, ...], options: dict[str, str]) -> DataFrame:
+    rows = spark.read.options(**options).schema(ACTIONS).json([f"{log}/{n}" for n in names])
     version = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{20})", 1).cast("long")
     return rows.select(version.alias("version"), "*")
 
 
-def _of_checkpoint(spark: SparkSession, log: str, part: Segment) -> DataFrame:
+def _of_checkpoint(spark: SparkSession, log: str, part: Segment, options: dict[str, str]) -> DataFrame:
     def read(paths: list[str], schema: str) -> DataFrame:
-        reader = spark.read.schema(schema)
+        reader = spark.read.options(**options).schema(schema)
         return reader.json(paths) if paths[0].endswith(".json") else reader.parquet(*paths)
 
     main = [f"{log}/{n}" for n in part.checkpoint_files]
@@ -82,7 +82,7 @@ def _of_checkpoint(spark: SparkSession, log: str, part: Segment) -> DataFrame:
     if _V2.fullmatch(part.checkpoint_files[0]):
         found = [r[0] for r in read(main, _SIDECAR).filter("sidecar.path IS NOT NULL").select("sidecar.path").distinct().collect()]
         if found:  # as many as the checkpoint has pieces
-            rows = rows.unionByName(spark.read.schema(ACTIONS).parquet(*[p if "/" in p else f"{log}/_sidecars/{p}" for p in sorted(found)]))
+            rows = rows.unionByName(spark.read.options(**options).schema(ACTIONS).parquet(*[p if "/" in p else f"{log}/_sidecars/{p}" for p in sorted(found)]))
     return rows.select(F.lit(part.checkpoint_version).cast("long").alias("version"), "*")
 
 
@@ -97,6 +97,8 @@ class Snapshot:
     partition_columns: tuple[str, ...]
     configuration: dict[str, str]
     files: DataFrame
+    storage: dict[str, str] = field(default_factory=dict)
+    shapes: dict[str, str] = field(default_factory=dict, compare=False, repr=False)  # footers read so far, by file
 
     @property
     def mapping_mode(self) -> str:
@@ -108,12 +110,12 @@ class Snapshot:
 
 def load(spark: SparkSession, uri: str, version: int | None = None, options: dict[str, str] | None = None) -> Snapshot:
     """Replay the log of the table at the (normalised) address."""
-    log = f"{uri}/_delta_log"
+    log, own = f"{uri}/_delta_log", dict(options or {})
     try:
-        part = segment(Folder(spark, log).names(), version)
-        sources = [_of_commits(spark, log, part.commits)] if part.commits else []
+        part = segment(Folder(spark, log, own).names(), version)
+        sources = [_of_commits(spark, log, part.commits, own)] if part.commits else []
         if part.checkpoint_files:
-            sources.append(_of_checkpoint(spark, log, part))
+            sources.append(_of_checkpoint(spark, log, part, own))
         actions = reduce(DataFrame.unionByName, sources)
         head = actions.agg(
             F.max_by("protocol", F.when(F.col("protocol").isNotNull(), F.col("version"))).alias("protocol"),
@@ -128,7 +130,7 @@ def load(spark: SparkSession, uri: str, version: int | None = None, options: dic
     protocol = ProtocolInfo(part.version, head.protocol.minReaderVersion, head.protocol.minWriterVersion, tuple(head.protocol.readerFeatures or ()), tuple(head.protocol.writerFeatures or ()))
     if protocol.min_reader_version > 3 and protocol.min_writer_version >= 7:
         raise SnapshotLoad("snapshot_load_failed")  # such a protocol can't even be looked at
-    return Snapshot(uri, part.version, protocol, head.meta.schemaString, tuple(head.meta.partitionColumns or ()), dict(head.meta.configuration or {}), live_files(actions))
+    return Snapshot(uri, part.version, protocol, head.meta.schemaString, tuple(head.meta.partitionColumns or ()), dict(head.meta.configuration or {}), live_files(actions), own)
 
 
 def _reason(uri: str, options: dict[str, str] | None) -> str:

@@ -13,72 +13,93 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.errors import DataFileRead, PhysicalToLogicalTransform
-from siltstone.sources.shipping import ship
+from siltstone.sources.files import hadoop_conf
 
-#: Up to so many footers are read by the driver; more are read by a job.
-DRIVER_FOOTERS = 64
+#: Footers read at a time by the driver.
+THREADS = 32
 
 
 # ---- footers -------------------------------------------------------------------------------------
 
-
-def footer(path: str) -> str:
-    """A file's columns as JSON: name, field id, type and children of each."""
-    import pyarrow.fs as fs
-    import pyarrow.parquet as pq
-
-    if path.startswith("file:"):
-        file = pq.ParquetFile(re.sub(r"^file:(//)?", "", path))
-    else:
-        system, name = fs.FileSystem.from_uri(path)
-        file = pq.ParquetFile(system.open_input_file(name))
-    with file:
-        physical = {(c := file.schema.column(i)).path: c.physical_type for i in range(len(file.schema))}
-        return json.dumps([_described(f, (f.name,), physical) for f in file.schema_arrow])
-
-
-def _described(field, path: tuple[str, ...], physical: dict[str, str]) -> dict:
-    import pyarrow.types as pt
-
-    kind = field.type
-    raw = (field.metadata or {}).get(b"PARQUET:field_id")
-    out: dict = {"name": field.name, "id": int(raw) if raw is not None else None}
-    if pt.is_struct(kind):
-        return out | {"type": "struct", "children": [_described(kind.field(i), (*path, kind.field(i).name), physical) for i in range(kind.num_fields)]}
-    if pt.is_list(kind) or pt.is_large_list(kind):
-        return out | {"type": "list", "children": [_described(kind.value_field, (*path, "list", kind.value_field.name), physical)]}
-    if pt.is_map(kind):
-        return out | {"type": "map", "children": [_described(kind.key_field, (*path, "key_value", "key"), physical), _described(kind.item_field, (*path, "key_value", "value"), physical)]}
-    name = str(kind)
-    if name.startswith("timestamp[ns") and any(p == "INT96" for p in physical.values()) and physical.get(".".join(path)) == "INT96":
-        name = "timestamp[us]"  # Spark reads such values itself
-    return out | {"type": name}
-
-
-def footers(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The footer of each file, in order."""
-    try:
-        if len(paths) <= DRIVER_FOOTERS:
-            with ThreadPoolExecutor(8) as pool:
-                return list(pool.map(footer, paths))
-
-        ship(spark)
-
-        def read(batches):
-            for batch in batches:
-                yield pd.DataFrame({"path": batch["path"], "footer": [footer(p) for p in batch["path"]]})
-
-        rows = spark.createDataFrame(pd.DataFrame({"path": paths})).repartition(max(1, len(paths) // 256 + 1))
-        found = {r.path: r.footer for r in rows.mapInPandas(read, "path string, footer string").collect()}
-        return [found[p] for p in paths]
-    except Exception as error:
-        raise DataFileRead("data_file_footer_read_failed") from error
+_TOKEN = re.compile(r"[{};=]|[^\s{};=()]+(?:\((?:[^()]|\([^()]*\))*\))?|\((?:[^()]|\([^()]*\))*\)")
+
+
+def described(message: str) -> list[dict]:
+    """A Parquet schema in its text form as fields: name, field id, type and children of each."""
+    tokens = iter(_TOKEN.findall(message[message.index("{") + 1 :]))
+
+    def fields() -> list[dict]:
+        out = []
+        for repetition in tokens:
+            if repetition == "}":
+                break
+            kind, name, mark, number = next(tokens), next(tokens), "", None
+            while (token := next(tokens)) not in (";", "{"):
+                if token == "=":
+                    number = int(next(tokens))
+                else:
+                    mark = token[1:-1]
+            own = {"name": name, "id": number, "repeated": repetition == "repeated"}
+            out.append(own | (_group(mark, fields()) if token == "{" else {"type": _named(kind, mark)}))
+        return out
+
+    return fields()
+
+
+def _group(mark: str, children: list[dict]) -> dict:
+    if mark == "LIST" and len(children) == 1 and children[0]["repeated"]:
+        inner = children[0]
+        nested = inner["type"] == "struct" and len(inner["children"]) == 1 and inner["name"] != "array"
+        return {"type": "list", "children": inner["children"] if nested else [inner]}
+    if mark in ("MAP", "MAP_KEY_VALUE") and len(children) == 1:
+        return {"type": "map", "children": children[0]["children"]}
+    return {"type": "struct", "children": children}
+
+
+def _named(kind: str, mark: str) -> str:
+    """A primitive's type by the name that _leaf knows."""
+    if found := re.fullmatch(r"DECIMAL\((\d+),(-?\d+)\)", mark):
+        return f"decimal128({found[1]}, {found[2]})"
+    if found := re.fullmatch(r"TIMESTAMP\((\w+),(\w+)\)", mark):
+        return f"timestamp[{ {'MILLIS': 'ms', 'MICROS': 'us', 'NANOS': 'ns'}[found[1]] }{', tz=UTC' if found[2] == 'true' else ''}]"
+    if found := re.fullmatch(r"INTEGER\((\d+),(\w+)\)", mark):
+        return f"{'int' if found[2] == 'true' else 'uint'}{found[1]}"
+    fixed = re.fullmatch(r"fixed_len_byte_array\((\d+)\)", kind)
+    if fixed:
+        return f"fixed_size_binary[{fixed[1]}]"
+    if mark in ("TIMESTAMP_MILLIS", "TIMESTAMP_MICROS"):
+        return f"timestamp[{'ms' if mark.endswith('LLIS') else 'us'}, tz=UTC]"
+    # Annotations, and physical types without one.
+    marks = {"STRING": "string", "UTF8": "string", "ENUM": "string", "JSON": "string", "DATE": "date32[day]", "INT_8": "int8", "INT_16": "int16", "INT_32": "int32", "INT_64": "int64"}
+    plain = {"boolean": "bool", "int32": "int32", "int64": "int64", "float": "float", "double": "double", "binary": "binary", "int96": "timestamp[us]"}
+    return marks.get(mark) or plain.get(kind, kind) if not mark or mark in marks else f"{kind} {mark}"
+
+
+def footers(spark: SparkSession, paths: list[str], options: dict[str, str] | None = None, known: dict[str, str] | None = None) -> list[str]:
+    """The fields of each file as JSON, in order, read through Hadoop with the table's options; known ones are not read again."""
+    known = {} if known is None else known
+    new = [p for p in dict.fromkeys(paths) if p not in known]
+    if new:
+        reader, path_of = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader, spark._jvm.org.apache.hadoop.fs.Path
+        conf, shapes = hadoop_conf(spark, options), {}
+
+        def read(path: str) -> str:
+            message = reader.readFooter(conf, path_of(path)).getFileMetaData().getSchema().toString()
+            return shapes.setdefault(message, message)
+
+        try:
+            with ThreadPoolExecutor(min(THREADS, len(new))) as pool:
+                found = list(pool.map(read, new))
+            by_message = {m: json.dumps(described(m)) for m in shapes}
+        except Exception as error:
+            raise DataFileRead("data_file_footer_read_failed") from error
+        known.update((p, by_message[m]) for p, m in zip(new, found, strict=True))
+    return [known[p] for p in paths]
 
 
 # ---- plans ---------------------------------------------------------------------------------------

@@ -13,6 +13,7 @@ import delta_fixtures as fx
 from siltstone.functions.predicate import And, Boolean, Compare, IsNotNull, IsNull, Not, Or, Predicate, Scalar, between, is_in, not_in
 from siltstone.operators import dynamic, sql
 from siltstone.operators.table import Table, TableBuilder
+from siltstone.options import Repartitioning
 from siltstone.sources.files import data_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -437,6 +438,62 @@ over_sql(
 )
 
 
+over_sql(
+    "sql_join_filter_prune",
+    {"orders": by_priority, "customer": _plain("customer")},
+    "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND c_acctbal > 0",
+    f"SELECT o_orderkey, c_name FROM {_PARTS} JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND c_acctbal > 0",
+)
+
+
+@query("sql_view_and_prune", f"SELECT count(*) AS urgent, (SELECT count(*) FROM orders) AS whole FROM {_PARTS} WHERE o_orderpriority = '1-URGENT'")
+def sql_view_and_prune(spark, sf_dir):
+    name, over = sql.scan_name(), sql.scan_name()
+    sql.register(spark, name, by_priority(spark, sf_dir))
+    spark.sql(f"CREATE TEMP VIEW {over} AS SELECT * FROM {name}")
+    return sql.query(spark, f"SELECT count(*) AS urgent, (SELECT count(*) FROM {over}) AS whole FROM {name} WHERE o_orderpriority = '1-URGENT'")
+
+
+@query("sql_concurrent", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY o_orderpriority")
+def sql_concurrent(spark, sf_dir):
+    """One table under one name, asked for each of its partitions by threads of their own."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    name = sql.scan_name()
+    sql.register(spark, name, by_priority(spark, sf_dir))
+    asked = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
+    with ThreadPoolExecutor(4) as pool:
+        parts = list(pool.map(lambda p: sql.query(spark, f"SELECT o_orderpriority, count(*) AS n FROM {name} WHERE o_orderpriority = '{p}' GROUP BY o_orderpriority"), asked))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
+@query("sql_join_key_prune", f"SELECT o_orderkey, label FROM {_PARTS} JOIN (VALUES ('1-URGENT', 'a'), ('4-NOT SPECIFIED', 'b')) AS k(p, label) ON o_orderpriority = p")
+def sql_join_key_prune(spark, sf_dir):
+    name = sql.scan_name()
+    sql.register(spark, name, by_priority(spark, sf_dir))
+    return sql.query(spark, f"SELECT o_orderkey, label FROM {name} JOIN (VALUES ('1-URGENT', 'a'), ('4-NOT SPECIFIED', 'b')) AS k(p, label) ON o_orderpriority = p")
+
+
+@query("dv_metrics", "SELECT count(*) AS rows_produced, CAST((SELECT count(*) FROM orders WHERE o_orderkey % 97 = 0 AND o_totalprice > 200000) AS BIGINT) AS rows_deleted FROM orders WHERE o_orderkey % 97 <> 0 AND o_totalprice > 200000")
+def dv_metrics(spark, sf_dir):
+    scan = without_some(spark, sf_dir, "many").scan().with_predicate(price(">", 200_000.0)).build()
+    scan.execute(observe=True).count()
+    found = scan.finish()
+    return spark.createDataFrame([(found.rows_produced, found.deletion_vector_rows_deleted)], "rows_produced long, rows_deleted long")
+
+
+@query("project_by_index", "SELECT o_totalprice, o_orderkey FROM orders")
+def project_by_index(spark, sf_dir):
+    table = plain(spark, sf_dir, "orders")
+    names = table.schema.fieldNames()
+    return table.scan().with_projection_indexes([names.index("o_totalprice"), names.index("o_orderkey")]).build().execute()
+
+
+@query("rebalanced_scan", "SELECT o_orderkey FROM orders")
+def rebalanced_scan(spark, sf_dir):
+    return plain(spark, sf_dir, "orders").scan().with_projection(["o_orderkey"]).with_target_partitions(3).with_repartitioning(Repartitioning.REBALANCE).build().execute()
+
+
 @query("join_dynamic_prune", "SELECT o_orderpriority, o_orderkey, label FROM orders JOIN (VALUES ('1-URGENT', 'a'), ('4-NOT SPECIFIED', 'b')) AS k(o_orderpriority, label) USING (o_orderpriority)")
 def join_dynamic_prune(spark, sf_dir):
     keys = spark.createDataFrame([("1-URGENT", "a"), ("4-NOT SPECIFIED", "b")], "o_orderpriority string, label string")

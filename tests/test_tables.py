@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 
 import delta_fixtures as fx
 import table_queries
-from siltstone.errors import DataFileRead, DeletionVectorRead, InvalidConfiguration, InvalidProjection, PhysicalToLogicalTransform, ReaderError, SnapshotLoad, SqlAdapter, UnsupportedPredicate, UnsupportedProtocol
+from siltstone import metrics
+from siltstone.errors import Cancelled, DataFileRead, DeletionVectorRead, InvalidConfiguration, InvalidProjection, PhysicalToLogicalTransform, ReaderError, ScanPlanning, SnapshotLoad, SqlAdapter, UnsupportedBackend, UnsupportedPredicate, UnsupportedProtocol
 from siltstone.functions.predicate import And, Boolean, Compare, IsNotNull, IsNull, Not, Or, Scalar, is_in, not_in
 from siltstone.operators import dynamic, sql
-from siltstone.operators.table import TableBuilder, row_reader
-from siltstone.options import Backend
+from siltstone.operators.cancel import Cancellation
+from siltstone.operators.table import TableBuilder, batch_size, row_reader
+from siltstone.options import Backend, ExecutionOptions, Repartitioning
 from siltstone.plans import pushdown
 
 PROTOCOL = fx.features("deletionVectors", "columnMapping", "timestampNtz", "typeWidening", "v2Checkpoint")
@@ -237,6 +239,81 @@ def test_metrics(build):
     found = scan.finish()
     assert (found.rows_produced, found.files_planned, found.estimated_rows, found.deletion_vector_payloads_loaded, found.parquet_data_file_range_get_operations) == (5, 2, 6, 1, None)
     assert found.estimated_bytes > 0 and found.reader_backend is Backend.NATIVE_ASYNC
+    assert (found.files_started, found.files_completed, found.deletion_vectors_applied, found.deletion_vector_rows_deleted) == (2, 2, 1, 1)
+    some = build.load().scan().with_predicate(Compare("id", ">", Scalar("int", 1))).build()
+    assert some.execute(observe=True).count() == 4 and some.finish().deletion_vector_rows_deleted == 0  # filtered before
+    one = build.load().scan().with_limit(1).build()
+    assert one.execute(observe=True).count() == 1
+    assert (one.finish().files_completed, one.finish().scan_partitions_completed) == (None, None)
+
+
+def test_scans_of_a_plan(build):
+    frame = build.make(DEFAULT, [PEOPLE, PEOPLE]).to_df()
+    assert len(frame.collect()) == 6
+    found = metrics.plan_scans(frame)
+    assert sum(s.files for s in found) == 2 and sum(s.rows for s in found) == 6 and sum(s.bytes for s in found) > 0
+
+
+def test_backends_batches_and_targets(build, spark):
+    table = build.make(DEFAULT, [PEOPLE] * 6)
+    kernel = ExecutionOptions(reader_backend=Backend.OFFICIAL_KERNEL)
+    with pytest.raises(UnsupportedBackend):
+        table.scan().with_execution_options(kernel).build()
+    row_reader(spark)
+    assert table.scan().with_execution_options(kernel).build().execute().count() == 18
+    row_reader(spark, False)
+    old = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    batch_size(spark, 2)
+    assert table.to_df().count() == 18
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", old)
+    with pytest.raises(InvalidConfiguration):
+        batch_size(spark, 0)
+    few = table.scan().with_target_partitions(2).build()
+    assert few.execute().rdd.getNumPartitions() <= 2 and len(few.partition_plan()) == 2
+    even = table.scan().with_target_partitions(5).with_repartitioning(Repartitioning.REBALANCE).build().execute()
+    assert even.rdd.getNumPartitions() == 5 and even.count() == 18
+    assert table.scan().with_projection_indexes([1, 0]).build().execute().columns == ["customer_name", "id"]
+    for bad, reason in (([2], "projection_index_out_of_bounds"), ([-1], "projection_index_out_of_bounds")):
+        with pytest.raises(InvalidProjection) as e:
+            table.scan().with_projection_indexes(bad)
+        assert e.value.reason == reason
+    with pytest.raises(InvalidProjection):
+        table.scan().with_projection_indexes([0, 0]).build()
+
+
+def test_cancellation(spark):
+    import threading
+    import time
+
+    stop = Cancellation(spark)
+    slow = spark.range(4).repartition(4).rdd.map(lambda x: time.sleep(30))
+    threading.Timer(2, stop.cancel).start()
+    start = time.monotonic()
+    with pytest.raises(Cancelled):
+        stop.run(slow.count)
+    assert time.monotonic() - start < 25
+    with pytest.raises(Cancelled):
+        stop.run(spark.range(1).count)
+    assert Cancellation(spark).run(spark.range(3).count) == 3
+
+
+def test_a_file_system_that_only_hadoop_reads(build, spark, tmp_path):
+    build.make(DEFAULT, [PEOPLE, {"data": PEOPLE, "dv": fx.stored_vectors(spark, build.uri, [[0]])[0]}])
+    options = {"fs.viewfs.mounttable.mount.link./data": str(build.uri)}
+    table = TableBuilder(spark, "viewfs://mount/data").with_storage_options(options).load()
+    assert ids(table.to_df()) == [1, 2, 2, 3, 3]
+    assert spark._jsc.hadoopConfiguration().get("fs.viewfs.mounttable.mount.link./data") is None
+
+
+def test_planning_jobs(build, spark):
+    table = build.make(DEFAULT, [PEOPLE, PEOPLE])
+    context = spark.sparkContext
+    context.setJobGroup("planning", "planning")
+    try:
+        table.scan().with_predicate(Compare("id", ">", Scalar("int", 1))).build()
+        assert len(context.statusTracker().getJobIdsForGroup("planning")) <= 3
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_failures_are_told_by_phase(build, spark, tmp_path):
@@ -524,22 +601,84 @@ def test_sql(regions, spark):
         ("id IN (1, 2)", "unsupported", "unsupported"), ("id BETWEEN 1 AND 2", "unsupported", "unsupported"), ("id + 1 > 3", "unsupported", "unsupported"), ("name LIKE 'n%'", "unsupported", "unsupported"),
         ("region = 'west' AND id > 3", "inexact", "inexact"), ("region = 'west' AND id IN (1, 2)", "inexact", "inexact"), ("region = 'west' AND id + 1 > 3", "unsupported", "unsupported"),
         ("region = 'west' OR id > 3", "unsupported", "unsupported"), ("1 = 1", "unsupported", "unsupported"), ("__siltstone_x = 1", "unsupported", "unsupported"), ("t.region = 'west'", "exact", "exact"),
-        ("id > 3 AND id < 9", "unsupported", "unsupported"),
+        ("id > 3 AND id < 9", "inexact", "inexact"),
     ],
 )
 def test_pushdown_classes(regions, spark, condition, exact, kernel):
-    if condition == "id > 3 AND id < 9":
-        assert pushdown.classify(spark, regions, condition).pushdown.value == "inexact"  # as a conjunction of two
-        return
     assert pushdown.classify(spark, regions, condition).pushdown.value == exact
     assert pushdown.classify(spark, regions, condition, Backend.OFFICIAL_KERNEL).pushdown.value == kernel
 
 
+def test_inexact_conditions_need_their_columns(regions, spark):
+    found = pushdown.classify(spark, regions, "region = 'west' AND id > 3")
+    pushdown.check_residual(found, ["id", "region"])
+    with pytest.raises(ScanPlanning):
+        pushdown.check_residual(found, ["id"])
+
+
+@pytest.fixture
+def registered(regions, spark):
+    sql.register(spark, "regions_t", regions)
+    spark.createDataFrame([("west", 1), ("nowhere", 2)], "region string, k int").createOrReplaceTempView("keys_t")
+    spark.sql("CREATE OR REPLACE TEMP VIEW over_regions AS SELECT * FROM regions_t")
+    yield
+    sql.unregister(spark, "regions_t")
+    spark.catalog.dropTempView("over_regions")
+    spark.catalog.dropTempView("keys_t")
+
+
+SQL_TEXTS = [
+    ("SELECT count(*), (SELECT count(*) FROM over_regions) FROM regions_t WHERE region = 'west'", None),
+    ("SELECT count(*), (SELECT count(*) FROM regions_t) FROM regions_t WHERE region = 'west'", None),
+    ("SELECT a.id, b.id FROM regions_t a JOIN regions_t b ON a.id = b.id + 2 WHERE a.region = 'east' AND b.region = 'west' ORDER BY 1", 2),
+    ("SELECT regions_t.id FROM regions_t WHERE regions_t.region = 'west' ORDER BY regions_t.id", 1),
+    ("WITH regions_t AS (SELECT 7 AS id, 'west' AS region) SELECT id FROM regions_t WHERE region = 'west'", 0),
+    ("SELECT id FROM (SELECT * FROM regions_t) s WHERE s.region = 'east' ORDER BY id", 1),
+    ("SELECT a.id, k FROM regions_t a LEFT JOIN keys_t USING (region) WHERE a.region = 'east' ORDER BY 1", 1),
+    ("SELECT k, id FROM keys_t LEFT JOIN regions_t a ON keys_t.region = a.region AND a.id > 1 ORDER BY 1, 2", None),
+    ("SELECT id, k FROM regions_t JOIN keys_t ON regions_t.region = keys_t.region ORDER BY id", 2),
+    ("SELECT id FROM regions_t WHERE region = 'west' UNION ALL SELECT id FROM regions_t WHERE region = 'east' ORDER BY id", 2),
+    ("SELECT id FROM regions_t r WHERE EXISTS (SELECT 1 FROM regions_t q WHERE q.region = 'west' AND q.id = r.id + 1) ORDER BY id", None),
+    ("SELECT id FROM (SELECT * FROM regions_t ORDER BY id DESC LIMIT 2) WHERE region = 'east'", 3),
+    ("SELECT 'regions_t' AS n, `id` FROM `regions_t` WHERE `region` = 'west' -- regions_t\n ORDER BY id", 1),
+    ("SELECT region, count(*) FROM regions_t GROUP BY region HAVING region = 'west'", None),
+]
+
+
+@pytest.mark.parametrize("text, files", SQL_TEXTS)
+def test_sql_gives_what_spark_gives(registered, spark, text, files):
+    found = sql.query(spark, text)
+    assert rows(found) == rows(spark.sql(text))
+    if files is not None:
+        assert len([f for f in found.inputFiles() if f.endswith(".parquet")]) == files
+    assert spark.table("regions_t").count() == 5 and not [t.name for t in spark.catalog.listTables() if t.name.startswith("t_")]
+
+
+def test_sql_from_many_threads(registered, spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(i):
+        if i % 2:
+            return rows(sql.query(spark, "SELECT count(*), sum(id) FROM regions_t WHERE region = 'west'")) == [(2, 3)]
+        return rows(sql.query(spark, "SELECT count(*) FROM regions_t")) == [(5,)] and spark.table("over_regions").count() == 5
+
+    with ThreadPoolExecutor(8) as pool:
+        assert all(pool.map(one, range(40)))
+
+
+def test_sql_leaves_a_view_that_took_the_name(registered, spark):
+    import time
+
+    time.sleep(0.01)
+    spark.createDataFrame([(1, "west")], "id int, region string").createOrReplaceTempView("regions_t")
+    assert rows(sql.query(spark, "SELECT id FROM regions_t WHERE region = 'west'")) == [(1,)]
+
+
 def test_runtime_pruning(regions, spark):
     keys = spark.createDataFrame([("west",), ("nowhere",)], "region string")
     counters = dynamic.PruningCounters()
     assert sorted(r.id for r in dynamic.join_pruned(regions, keys, "region", ["id"], counters).collect()) == [1, 2]
-    assert counters == dynamic.PruningCounters(1, 1, 0, 2, 1)  # the file without a value is kept
+    assert counters == dynamic.PruningCounters(1, 1, 0, 2, 1, 1, 1, 0)  # the file without a value is kept
     other = spark.createDataFrame([(1,)], "id int")
     assert dynamic.join_pruned(regions, other, "id", ["name"], counters).count() == 1 and counters.filters_unsupported == 1
     verdicts = {("region",): "accepted", (): "no_referenced_columns", ("id",): "data_column", ("id", "region"): "mixed_partition_and_data", ("x",): "unknown_column", ("__siltstone_a",): "internal_column"}
