@@ -79,8 +79,9 @@ def _induce(text: np.ndarray, small: np.ndarray, first: np.ndarray, seeds: np.nd
 def _short(text: np.ndarray) -> np.ndarray:
     """The suffix array of a short text, where the recursion ends: the length by which ranks tell suffixes apart is doubled."""
     rank, step, n = text.astype(np.int64), 1, len(text)
+    most = max(n, int(rank.max(initial=0)) + 1) + 1  # a short text's symbols may be greater than its length
     while n > 1:
-        key = rank * (n + 1)
+        key = rank * most
         key[:-step] += rank[step:] + 1
         order = np.argsort(key, kind="stable")
         rank = np.empty(n, np.int64)

@@ -167,10 +167,24 @@ def test_suffix_arrays_of_many_names(names, monkeypatch):
     as_list = text.tolist()
     want = sorted(range(len(text)), key=lambda i: as_list[i:])
     assert suffix_array(text, names).tolist() == want
+    monkeypatch.setattr("siltstone.llm.suffix_array.SHORT", 1)
+    assert suffix_array(text, names).tolist() == want
     monkeypatch.setattr("siltstone.llm.suffix_array.DIGIT", 4)
     assert suffix_array(text, names).tolist() == want
 
 
+@pytest.mark.parametrize("short", [1, 16, 1 << 16])
+def test_suffix_arrays_of_few_bytes(short, monkeypatch):
+    """Short texts of great symbols, with the recursion ending early and late."""
+    monkeypatch.setattr("siltstone.llm.suffix_array.SHORT", short)
+    rng = np.random.default_rng(short)
+    for trial in range(100):
+        part = rng.integers(1, 257, rng.integers(1, 40))
+        text = np.concatenate((part, rng.integers(1, 257, rng.integers(0, 9)), part[: rng.integers(0, len(part) + 1)], part, [0]))
+        as_list = text.tolist()
+        assert suffix_array(text, 257).tolist() == sorted(range(len(text)), key=lambda i: as_list[i:])
+
+
 def test_suffix_array_of_text():
     text = np.frombuffer((" ".join(x or "" for x in corpus(5, 120))).encode() + b"\0", np.uint8)
     order = suffix_array(text, 256)
