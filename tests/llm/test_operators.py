@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, fingerprints, html_extract, langid, mixing, quality, repeats, simhash, substring_dedup, suffix_dedup
 from siltstone.llm.common import below, release, sampled, small_batches, store
@@ -111,6 +112,35 @@ def test_fingerprints(spark, docs):
     assert fingerprints.compare_with_next(tied, ranges=2).count() == 4
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 7])
+def test_successors_of_crowded_ids(spark, ranges, monkeypatch):
+    """A third of all rows under one id or none, with unlike and with equal texts; each text's successor by brute force."""
+    monkeypatch.setattr("siltstone.llm.fingerprints.BLOCK", 7)
+    texts = [f"text {i} of many words that are not alike {i * i}" for i in range(90)]
+    rows = [(None, t) for t in texts[:30]] + [(5, t) for t in texts[30:60]] + [(6 + i % 20, t) for i, t in enumerate(texts[60:])]
+    rows += [(7, "the same text again and again and again")] * 40 + [(None, None)] * 3 + [(None, "")] * 2 + [(-(2**63), "lowest")]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, n long, block int").repartition(5)
+    digest = {r.text: r.x for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("x")).collect()}
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], digest[r[1]], r[1] or ""))
+    want = []
+    for (i, text), (_, ahead) in zip(order, order[1:] + order[:1]):
+        text, ahead = text or "", ahead or ""
+        q = len(text) // 4
+        want.append((i, len(text), hashlib.sha256((text[: len(text) - q] + ahead[:q]).encode()).hexdigest()))
+    found = fingerprints.compare_with_next(df, ranges=ranges).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
+def test_short_sketches_merge(spark):
+    texts = [f"only one shingle of {i}" for i in range(40)]
+    rows = spark.createDataFrame([(a, b, f"{a} {b}") for a, b in zip(texts, texts[1:])], "a string, b string, c string")
+    rows = rows.select(*[fingerprints.sketch(x, words=5).alias(x) for x in "ab"])
+    for r in rows.select("a", "b", fingerprints.merged("a", "b").alias("m")).collect():
+        both = sorted({*r.a, *r.b})
+        below = [x for x in both if 0 <= x < 2**64 // fingerprints.SCALE]
+        assert r.m == (below or both[:1])
+
+
 def test_sketches_estimate_and_merge(spark):
     rng = random.Random(5)
     words = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
@@ -207,6 +237,19 @@ def test_suffix_dedup(spark, docs, common):
     assert suffix_dedup.dedup_bytes(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_short_texts_of_great_bytes(spark):
+    """So few bytes in a shard that some of them are greater than its length."""
+    rng = random.Random(8)
+    for trial in range(3):
+        passage = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(34))
+        texts = {1: passage + "а", 2: "б" + passage, 3: "я" + passage[:33]}
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        gone = removed({i: t.encode() for i, t in texts.items()}, 100)
+        for r in suffix_dedup.dedup_bytes(df).collect():
+            kept = bytes(b for b, g in zip(texts[r.doc_id].encode(), gone[r.doc_id]) if not g)
+            assert (r.n_removed, bytes(r.kept)) == (sum(gone[r.doc_id]), kept)
+
+
 def test_null_ids_come_first(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = spark.createDataFrame([(None, text), (5, text + " more"), (5, text + " more")], "doc_id long, text string")
