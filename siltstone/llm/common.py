@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
+import sys
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +96,24 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
             spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed; the allocators keep it else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:  # glibc
+        trim(0)
+
+
+def trimmed(work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """work for mapInPandas, after which its Python worker, waiting for the next task, does not hold what the last one took."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def below(count: int, wanted: int) -> int | None:
     """The signed 64-bit value below which a hash falls for about `wanted` of `count` rows; None: for all."""
     return None if count <= wanted else -(2**63) + 2**64 * wanted // count

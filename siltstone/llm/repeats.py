@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import release, store, text_bytes
+from siltstone.llm.common import release, store, text_bytes, trimmed
 from siltstone.llm.textbatch import chunks, mix64, span_hashes, words
 
 #: Entries that a task settles and packs at once.
@@ -142,9 +142,9 @@ _PACKED = "bucket int, h binary, extra binary, doc binary, at binary, more binar
 
 
 def _texts(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    """Runs of rows with their unpacked texts."""
+    """Runs of rows with their texts, which are packed unless the rows are those of plain()."""
     unpack = zstandard.ZstdDecompressor()
-    for first, texts in chunks(unpack.decompress(b) for b in batch["blob"]):
+    for first, texts in chunks(batch["text"] if "text" in batch else (unpack.decompress(b) for b in batch["blob"])):
         yield batch.iloc[first : first + len(texts)], texts
 
 
@@ -179,11 +179,20 @@ def packed(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame | None)
         for batch in batches:
             yield batch.assign(blob=[press.compress(b) for b in batch["blob"]])
 
-    rows = rows.mapInPandas(pack, rows.schema)
+    rows = rows.mapInPandas(trimmed(pack), rows.schema)
     rows = rows.withColumn("doc", F.col("id")) if keys is None else rows.join(keys, ["id", "digest"])
     return rows.select("id", "doc", F.lit(0).cast("long").alias("first"), "blob")
 
 
+def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, first, text): each whole text as one segment, not compressed, where each doc is its id.
+
+    For what reads the texts where they lie: packing them would take a second Python worker beside the reader's.
+    """
+    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc")
+    return docs.select(ids, F.lit(0).cast("long").alias("first"), text_bytes(text_col).alias("text"))
+
+
 def repeated_places(segments: DataFrame, tokens: Tokens, k: int, window: int, buckets: int, later_only: bool = False) -> DataFrame:
     """Places of the segments' looked-at grams that occur more than once, dealt for gathered().
 
@@ -232,8 +241,8 @@ def repeated_places(segments: DataFrame, tokens: Tokens, k: int, window: int, bu
         doc, at = np.concatenate((doc[keep], known_doc)), np.concatenate((at[keep], known_at))
         yield dealt(doc, at, np.ones(len(doc), np.int64), buckets)
 
-    sent = segments.select("doc", "first", "blob").mapInPandas(send, _PACKED)
-    return sent.repartitionById(buckets, "bucket").mapInPandas(settle, DEALT)
+    sent = segments.select("doc", "first", "text" if "text" in segments.columns else "blob").mapInPandas(trimmed(send), _PACKED)
+    return sent.repartitionById(buckets, "bucket").mapInPandas(trimmed(settle), DEALT)
 
 
 DEALT = "part int, doc binary, at binary, n binary"
@@ -272,7 +281,7 @@ def gathered(runs: DataFrame, parts: int) -> DataFrame:
             e = np.append(first, len(doc))[a + 1 : a + 1 + len(s)]
             yield pd.DataFrame({"doc": doc[s], "at": [at[i:j].tobytes() for i, j in zip(s, e, strict=True)], "n": [n[i:j].tobytes() for i, j in zip(s, e, strict=True)]})
 
-    return runs.repartitionById(parts, "part").mapInPandas(gather, "doc long, at binary, n binary")
+    return runs.repartitionById(parts, "part").mapInPandas(trimmed(gather), "doc long, at binary, n binary")
 
 
 def spread(at: bytes, n: bytes) -> np.ndarray:
@@ -309,7 +318,7 @@ def survivors(segments: DataFrame, places: DataFrame, tokens: Tokens, k: int, wi
                 blobs = [press.compress(texts[o][s:e]) for o, s, e in zip(owner[a], start[a], end[b], strict=True)]
                 yield pd.DataFrame({"doc": docs, "first": a - first[owner[a]] + bases, "blob": blobs})
 
-    return segments.join(places, "doc").select("doc", "first", "blob", "at", "n").mapInPandas(cut, "doc long, first long, blob binary")
+    return segments.join(places, "doc").select("doc", "first", "blob", "at", "n").mapInPandas(trimmed(cut), "doc long, first long, blob binary")
 
 
 def copies(rows: DataFrame) -> DataFrame:
@@ -319,10 +328,14 @@ def copies(rows: DataFrame) -> DataFrame:
     return store(rows.join(many, "digest").filter("doc != least").select("doc").distinct(), "copies")
 
 
-def narrowed(segments: DataFrame, copied: DataFrame, tokens: Tokens, levels: tuple[int, ...], window: int, buckets: int) -> DataFrame:
-    """What is left of the segments once each level's grams have been looked at; copies of whole documents go."""
-    for k in levels:
-        places = gathered(repeated_places(segments, tokens, k, window, buckets), buckets).join(copied, "doc", "left_anti")
+def narrowed(segments: DataFrame, copied: DataFrame, tokens: Tokens, levels: tuple[int, ...], window: int, buckets: int, texts: DataFrame | None = None) -> DataFrame:
+    """What is left of the segments once each level's grams have been looked at; copies of whole documents go.
+
+    texts: the same segments as of plain(), if there are such.
+    """
+    for i, k in enumerate(levels):
+        looked_at = segments if i or texts is None else texts
+        places = gathered(repeated_places(looked_at, tokens, k, window, buckets), buckets).join(copied, "doc", "left_anti")
         before, segments = segments, store(survivors(segments, places, tokens, k, window), f"segments-{k}")
         release(before)
     return segments

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import repeats
-from siltstone.llm.common import small_batches
+from siltstone.llm.common import small_batches, trimmed
 
 #: Words of a window, and the gram lengths looked at before.
 WINDOW = 20
@@ -43,7 +43,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows, keys, buckets = repeats.document_keys(docs, id_col, text_col)
     copied = repeats.copies(rows)
     whole = repeats.packed(docs, id_col, text_col, keys)
-    segments = repeats.narrowed(whole, copied, repeats.word_tokens, levels, window, buckets)
+    texts = repeats.plain(docs, id_col, text_col) if keys is None else None
+    segments = repeats.narrowed(whole, copied, repeats.word_tokens, levels, window, buckets, texts)
     places = repeats.gathered(repeats.repeated_places(segments, repeats.word_tokens, window, window, buckets, later_only=True), buckets)
     marks = places.unionByName(copied.select("doc", F.lit(b"").alias("at"), F.lit(b"").alias("n")))
 
@@ -65,5 +66,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
 
     joined = whole.join(marks, "doc", "left").select("id", "blob", "at", "n")
-    found = joined.mapInPandas(remove, "id long, n_words long, n_removed long, kept binary")
+    found = joined.mapInPandas(trimmed(remove), "id long, n_words long, n_removed long, kept binary")
     return found.select(F.nullif("id", F.lit(repeats.NULL_ID)).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))

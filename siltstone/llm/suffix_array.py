@@ -126,6 +126,7 @@ def _sorted(text: np.ndarray, symbols: int) -> np.ndarray:
     nearest = np.where(change != 0, np.arange(n), n - 1)
     nearest = np.minimum.accumulate(nearest[::-1])[::-1]
     small = change[nearest] > 0
+    del change, nearest  # what is done with goes before the recursion, which needs two thirds of this level's memory
     small[-1] = True
     seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1  # leftmost smaller
     first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))
@@ -133,13 +134,20 @@ def _sorted(text: np.ndarray, symbols: int) -> np.ndarray:
     leftmost = np.zeros(n, bool)
     leftmost[seeds] = True
     ordered = rough[leftmost[rough]]
+    del rough, leftmost
     size = np.zeros(n, np.int64)
     size[seeds] = np.append(np.diff(seeds) + 1, 1)
-    names = np.cumsum(~_same_substrings(text, ordered, size[ordered])) - 1
+    lengths = size[ordered]
+    del size
+    names = np.cumsum(~_same_substrings(text, ordered, lengths)) - 1
+    del lengths
     if names[-1] + 1 < len(seeds):
         name_of = np.zeros(n, np.int64)
         name_of[ordered] = names
-        ordered = seeds[suffix_array(name_of[seeds], int(names[-1]) + 1)]
+        symbols, name_of = int(names[-1]) + 1, name_of[seeds]
+        del names, ordered
+        ordered = seeds[suffix_array(name_of, symbols)]
+        del name_of
     return _induce(text, small, first, ordered)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import repeats
-from siltstone.llm.common import small_batches
+from siltstone.llm.common import small_batches, trimmed
 from siltstone.llm.substring_dedup import covered
 from siltstone.llm.suffix_array import common_prefixes, suffix_array
 from siltstone.llm.textbatch import mix64
@@ -59,7 +59,7 @@ def crowded_cells(segments: DataFrame, k: int, window: int, common: int = COMMON
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at, "n": total[at]})
 
-    sums = segments.select("blob").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    sums = segments.select("blob").mapInPandas(trimmed(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     crowded = np.zeros(CELLS, bool)
     crowded[sums["cell"][sums["n"] > max(common, 16 * int(sums["n"].sum()) // CELLS)]] = True
     return crowded
@@ -213,9 +213,9 @@ def shard_windows(segments: DataFrame, k: int, window: int, crowded: np.ndarray,
         yield repeats.dealt(*(np.concatenate(x) for x in zip(*found, strict=True)), buckets)
 
     sent = segments.select("doc", "first", "blob").mapInPandas(
-        send, "bucket int, h binary, doc binary, at binary, n binary, twice binary, text binary, old_doc binary, old_at binary, old_n binary"
+        trimmed(send), "bucket int, h binary, doc binary, at binary, n binary, twice binary, text binary, old_doc binary, old_at binary, old_n binary"
     )
-    return sent.repartitionById(buckets, "bucket").mapInPandas(sort, repeats.DEALT)
+    return sent.repartitionById(buckets, "bucket").mapInPandas(trimmed(sort), repeats.DEALT)
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, levels: tuple[int, ...] = LEVELS, common: int = COMMON) -> DataFrame:
@@ -225,7 +225,8 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, keys, buckets = repeats.document_keys(docs, id_col, text_col)
     copied = repeats.copies(rows)
     whole = repeats.packed(docs, id_col, text_col, keys)
-    segments = repeats.narrowed(whole, copied, repeats.byte_tokens, levels, window, buckets)
+    texts = repeats.plain(docs, id_col, text_col) if keys is None else None
+    segments = repeats.narrowed(whole, copied, repeats.byte_tokens, levels, window, buckets, texts)
     found = shard_windows(segments, levels[-1], window, crowded_cells(segments, levels[-1], window, common), buckets)
     marks = repeats.gathered(found, buckets).unionByName(copied.select("doc", F.lit(b"").alias("at"), F.lit(b"").alias("n")))
 
@@ -246,5 +247,5 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = whole.join(marks, "doc", "left").select("id", "blob", "at", "n")
-    result = joined.mapInPandas(remove, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    result = joined.mapInPandas(trimmed(remove), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return result.select(F.nullif("id", F.lit(repeats.NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")

@@ -4,18 +4,21 @@ import hashlib
 import math
 import random
 import re
+import sys
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, fingerprints, html_extract, langid, mixing, quality, repeats, simhash, substring_dedup, suffix_dedup
-from siltstone.llm.common import below, release, sampled, small_batches, store
+from siltstone.llm.common import below, release, sampled, small_batches, store, trimmed
 from siltstone.llm.components import components
 from siltstone.llm.suffix_array import common_prefixes, suffix_array
 
@@ -224,6 +227,48 @@ def test_suffix_array_of_text():
     assert all(data[a : a + n] == data[b : b + n] and data[a + n : a + n + 1] < data[b + n : b + n + 1] for a, b, n in zip(order[:-1].tolist(), order[1:].tolist(), shared))
 
 
+def test_suffix_arrays_take_little_memory():
+    """The arrays of one level are gone when the next one needs as much again: 36 bytes a symbol (105 when they stayed)."""
+    rng = np.random.default_rng(4)
+    text = np.append(rng.integers(1, 30, 1 << 18).astype(np.uint8), 0)
+    tracemalloc.start()
+    try:
+        suffix_array(text, 30)
+        assert tracemalloc.get_traced_memory()[1] < 80 * len(text)
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_workers_give_back_what_a_task_took():
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    pins = []
+
+    def work(batches):
+        for batch in batches:
+            held = [bytearray(50_000) for _ in range(4_000)]
+            pins.append(bytes(50_000))  # above all others, so that the heap can't shrink from its end
+            yield batch.assign(n=len(held))
+
+    before = resident()
+    assert [b["n"].item() for b in trimmed(work)(iter([pd.DataFrame({"a": [1]})] * 2))] == [4_000, 4_000]
+    assert resident() - before < 100 << 20
+
+
+@pytest.mark.parametrize("dedup", [suffix_dedup.dedup_bytes, substring_dedup.dedup_substrings])
+def test_texts_are_looked_at_where_they_lie(spark, docs, dedup, monkeypatch):
+    """No Python worker packs texts for a second one in the same task."""
+    plans, found = [], repeats.repeated_places
+
+    def places(segments, *more, **named):
+        plans.append(segments._jdf.queryExecution().optimizedPlan().toString())
+        return found(segments, *more, **named)
+
+    monkeypatch.setattr(repeats, "repeated_places", places)
+    assert dedup(docs[0]).count() == len(docs[1])
+    assert len(plans) > 1 and not any("MapInPandas" in p for p in plans)
+
+
 @pytest.mark.parametrize("common", [suffix_dedup.COMMON, 3])
 def test_suffix_dedup(spark, docs, common):
     df, own = docs
